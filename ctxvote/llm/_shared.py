@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ensure_package
+
 #: Identifier rows (8 to 16 bytes each) up to this count may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -45,6 +47,7 @@ def sized_join(big: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataF
 
 def own_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`(doc_id, text)` alone, so that extra columns with clashing names never matter; null text is empty."""
+    ensure_package(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
