@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..ship import ensure_package
 
 #: Identifier rows (8 to 16 bytes each) up to this count may be broadcast; beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 400_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
