@@ -72,3 +72,16 @@ def text_runs(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterat
             held += len(x)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def keep_rows(docs: DataFrame, wanted, text_col: str) -> DataFrame:
+    """The rows of `docs`, all columns as they are, for whose texts (bytes; null is empty) `wanted` says so."""
+    ensure_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(text_col)
+            texts = batch.column(place).cast(pa.large_string()).fill_null("")
+            yield batch.filter(pa.array(wanted([bytes(t) for t in byte_slices(texts)]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
