@@ -85,3 +85,20 @@ def keep_rows(docs: DataFrame, wanted, text_col: str) -> DataFrame:
             yield batch.filter(pa.array(wanted([bytes(t) for t in byte_slices(texts)]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def kept_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that `decided(doc_id, text_key, kept)` keeps.
+
+    Rows are told apart by id and `xxhash64` of the text.  Of rows that agree in both, one stays if one is kept.
+    """
+    rows = cut(decided.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_key").alias("_key")]
+    on = ["_id", "_none", "_key"]
+    own = F.col(id_col).cast("long")
+    keyed = docs.withColumns({"_id": F.coalesce(own, F.lit(0)), "_none": own.isNull(), "_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    out = sized_join(keyed, rows.where(~F.col("kept")).select(*key), on, "left_anti")
+    again = rows.where("kept and n > 1").select(*key)
+    if not again.isEmpty():
+        out = sized_join(out, again, on, "left_anti").unionByName(sized_join(out, again, on, "left_semi").dropDuplicates(on))
+    return out.select(*[out[f"`{c}`"] for c in docs.columns])

@@ -9,15 +9,13 @@ passage costs no more than other rows, since nothing is shuffled.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import joined_docs, lowered, window_hashes, word_hashes
-from ._shared import byte_slices, cut, own_rows, text_runs
+from ._shared import byte_slices, cut, keep_rows, own_rows, text_runs
 
 WINDOW = 10
 #: Benchmark text held by a worker at once.
@@ -48,11 +46,14 @@ def benchmark_windows(items: list[tuple[str, str]], window: int = WINDOW) -> dic
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[int, int]]:
-    """Ranges of a hash of the item's id and text that hold at most about `BLOCK_BYTES` of text each."""
-    total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+def _broadcast_blocks(spark, benchmark: DataFrame, window: int, item_col: str, item_text_col: str):
+    """Broadcasts of the windows of parts of the benchmark that hold about `BLOCK_BYTES` of text each, and whether it is the last."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
-    return [(k, n) for k in range(n)]
+    for k in range(n):
+        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield spark.sparkContext.broadcast(benchmark_windows([(r.item_id, r.text) for r in block.collect()], window)), k == n - 1
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -65,43 +66,41 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     spark = docs.sparkSession
     found = own_rows(docs, id_col, text_col).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = _blocks(items, "item_id", "text")
-    for k, n in blocks:
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        known = spark.sparkContext.broadcast(benchmark_windows([(r.item_id, r.text) for r in block.collect()], window))
+    for known, last in _broadcast_blocks(spark, benchmark, window, item_col, item_text_col):
         found = found.mapInArrow(_scanner(known), _FOUND)
-        if n > 1:
-            found = cut(found)  # one block's windows at a time in a worker
-            known.unpersist()
+        found = found if last else cut(found)  # one block's windows at a time in a worker
     return found
 
 
+def scan_texts(texts: list[bytes], windows) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
+    """(first word of each text and the end, whether each word is hit, items by text) of lowered texts."""
+    low, starts = joined_docs(texts)
+    hashes, word_starts, word_ends = word_hashes(low)
+    first = np.searchsorted(word_starts, starts)
+    marks = np.zeros(len(hashes) + 1, np.int64)
+    items: dict[int, set[str]] = {}
+    for length, (bitmap, sorted_hashes, exact) in windows.items():
+        h = window_hashes(hashes, length)
+        maybe = np.flatnonzero(bitmap[(h >> np.uint64(48)).astype(np.int64)])
+        at = np.searchsorted(sorted_hashes, h[maybe])
+        maybe = maybe[sorted_hashes[np.minimum(at, len(sorted_hashes) - 1)] == h[maybe]]
+        for i in maybe.tolist():
+            doc = int(np.searchsorted(first, i, "right")) - 1
+            if i + length > first[doc + 1]:
+                continue  # the window would run into the next text
+            key = b" ".join(low[word_starts[i + j] : word_ends[i + j]] for j in range(length))
+            if key in exact:
+                marks[i] += 1
+                marks[i + length] -= 1
+                items.setdefault(doc, set()).update(exact[key])
+    return first, np.cumsum(marks[:-1]) > 0, items
+
+
 def _scanner(known):
     def scan(batches):
         windows = known.value
         for batch in text_runs(batches):
-            texts = [lowered(bytes(t)) for t in byte_slices(batch.column("text"))]
-            low, starts = joined_docs(texts)
-            hashes, word_starts, word_ends = word_hashes(low)
-            first = np.searchsorted(word_starts, starts)  # the first word of each document
-            marks = np.zeros(len(hashes) + 1, np.int64)
-            items: dict[int, set[str]] = {}
-            for length, (bitmap, sorted_hashes, exact) in windows.items():
-                h = window_hashes(hashes, length)
-                maybe = np.flatnonzero(bitmap[(h >> np.uint64(48)).astype(np.int64)])
-                at = np.searchsorted(sorted_hashes, h[maybe])
-                maybe = maybe[sorted_hashes[np.minimum(at, len(sorted_hashes) - 1)] == h[maybe]]
-                for i in maybe.tolist():
-                    doc = int(np.searchsorted(first, i, "right")) - 1
-                    if i + length > first[doc + 1]:
-                        continue  # the window would run into the next document
-                    key = b" ".join(low[word_starts[i + j] : word_ends[i + j]] for j in range(length))
-                    if key in exact:
-                        marks[i] += 1
-                        marks[i + length] -= 1
-                        items.setdefault(doc, set()).update(exact[key])
-            hit = np.cumsum(marks[:-1]) > 0
+            first, hit, items = scan_texts([lowered(bytes(t)) for t in byte_slices(batch.column("text"))], windows)
             old_hits, old_items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
             new_hits = []
             for d in range(batch.num_rows):
@@ -120,6 +119,28 @@ def _scanner(known):
     return scan
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, in which no window of the benchmark occurs."""
+    spark, kept = docs.sparkSession, docs
+    for known, last in _broadcast_blocks(spark, benchmark, window, item_col, item_text_col):
+
+        def clean(texts: list[bytes], known=known) -> list[bool]:
+            out, at = [True] * len(texts), 0
+            while at < len(texts):  # a bounded number of bytes at a time
+                stop, held = at, 0
+                while stop < len(texts) and (stop == at or held + len(texts[stop]) <= 1 << 21):
+                    held += len(texts[stop])
+                    stop += 1
+                for d in scan_texts([lowered(t) for t in texts[at:stop]], known.value)[2]:
+                    out[at + d] = False
+                at = stop
+            return out
+
+        kept = keep_rows(kept, clean, text_col)
+        kept = kept if last else cut(kept)
+    return kept
+
+
 def remove_spans(found: DataFrame) -> DataFrame:
     """`doc_id, text`: the rows of `find_contamination` without the text of their hit words."""
 
@@ -141,7 +162,3 @@ def remove_spans(found: DataFrame) -> DataFrame:
 
 def n_hit(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

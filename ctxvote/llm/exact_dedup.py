@@ -47,12 +47,12 @@ def merge_tree(prints: DataFrame, keep: str = "smallest", runs: int = RUNS, fan:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """One row per input row: `doc_id, keep_id, group_size, kept, text_sha256`.
+    """One row per input row: `doc_id, keep_id, group_size, kept, text_sha256, text_key`.
 
     Texts are equal when identical; a null text is empty, and empty texts equal each other.  The row with the
     smallest (`keep="largest"`: largest) id of a group stays.  Rows without an id lose to any row that has one; in
     a group of rows without ids, one stays and keep_id is null.  Of rows that repeat id and text, one is marked as
-    kept.  An empty table gives no rows; other columns are not read.
+    kept.  `text_key` is `xxhash64` of the text.  An empty table gives no rows; other columns are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     leaf, root = merge_tree(prints, keep)
@@ -66,6 +66,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.row_number().over(same).alias("nth"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        F.col("check").alias("text_key"),
     )
     return found.select(
         "doc_id",
@@ -73,4 +74,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
         "text_sha256",
+        "text_key",
     )

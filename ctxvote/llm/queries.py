@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, packing, pii, substring_dedup, token_store, toxicity
+from . import decontaminate, exact_dedup, html_text, near_dedup, packing, pii, substring_dedup, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,13 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract_text(_table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
+    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest").drop("text_key")
 
 
 OP5_SQL = r"""
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_store": op8_token_store,
+    "op9_html_text": op9_html_text,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
