@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: Type codes.
 ARRAY, POINTER, PADDING, STRUCT, UNION, FUNCTION, MISSING = 2, 3, 5, 6, 7, 9, 10
 
-FIELD = "struct<T:int,n:string,t:string,s:bigint>"
-TYPE = f"struct<T:int,n:string,l:array<{FIELD}>,s:bigint,t:string>"
+FIELD = "struct<code:int,n:string,t:string,s:bigint>"
+TYPE = f"struct<code:int,n:string,l:array<{FIELD}>,s:bigint,t:string>"
 
 
 def _kind(v: Column, path: str) -> Column:
@@ -43,7 +43,7 @@ def header(label: Column) -> Column:
     """T-8: `struct<T, t>` of any label with a code and, if any, a textual `t`."""
     v = F.try_parse_json(label)
     good = v.isNotNull() & _code_ok(v) & _is(v, "$.t", "STRING", absent=True)
-    return F.when(good, F.struct(F.try_variant_get(v, "$.T", "int").alias("T"), F.try_variant_get(v, "$.t", "string").alias("t")))
+    return F.when(good, F.struct(F.try_variant_get(v, "$.T", "int").alias("code"), F.try_variant_get(v, "$.t", "string").alias("t")))
 
 
 def parse_type(label: Column) -> Column:
@@ -54,8 +54,8 @@ def parse_type(label: Column) -> Column:
         F.coalesce(F.forall(members, lambda m: _code_ok(m) & _texts_ok(m) & _size_ok(m)), F.lit(False))
     )
     good = v.isNotNull() & _code_ok(v) & _texts_ok(v) & _size_ok(v) & members_ok
-    field = lambda m: F.struct(F.try_variant_get(m, "$.T", "int").alias("T"), F.try_variant_get(m, "$.n", "string").alias("n"), F.try_variant_get(m, "$.t", "string").alias("t"), F.try_variant_get(m, "$.s", "bigint").alias("s"))
-    made = F.struct(F.try_variant_get(v, "$.T", "int").alias("T"), F.try_variant_get(v, "$.n", "string").alias("n"), F.transform(members, field).alias("l"), F.try_variant_get(v, "$.s", "bigint").alias("s"), F.try_variant_get(v, "$.t", "string").alias("t"))
+    field = lambda m: F.struct(F.try_variant_get(m, "$.T", "int").alias("code"), F.try_variant_get(m, "$.n", "string").alias("n"), F.try_variant_get(m, "$.t", "string").alias("t"), F.try_variant_get(m, "$.s", "bigint").alias("s"))
+    made = F.struct(F.try_variant_get(v, "$.T", "int").alias("code"), F.try_variant_get(v, "$.n", "string").alias("n"), F.transform(members, field).alias("l"), F.try_variant_get(v, "$.s", "bigint").alias("s"), F.try_variant_get(v, "$.t", "string").alias("t"))
     return F.when(good, made)
 
 
@@ -73,12 +73,12 @@ def type_name(label: Column, parsed: Column) -> Column:
 
 def function_name(head: Column) -> Column:
     """T-12: the name that a function's label gives."""
-    return F.when(head["T"] == FUNCTION, head["t"])
+    return F.when(head["code"] == FUNCTION, head["t"])
 
 
 def members_of(parsed: Column) -> Column:
     """The members of a struct or union that are not padding."""
-    return F.filter(parsed["l"], lambda m: m["T"] != PADDING)
+    return F.filter(parsed["l"], lambda m: m["code"] != PADDING)
 
 
 def member_sizes(parsed: Column, code: int) -> Column:
@@ -86,7 +86,7 @@ def member_sizes(parsed: Column, code: int) -> Column:
     members = members_of(parsed)
     sizes = F.transform(members, lambda m: m["s"])
     sizes = F.array_sort(sizes) if code == UNION else sizes
-    return F.when((parsed["T"] == code) & ~F.exists(members, lambda m: m["s"].isNull()), sizes)
+    return F.when((parsed["code"] == code) & ~F.exists(members, lambda m: m["s"].isNull()), sizes)
 
 
 def offset_widths(parsed: Column) -> Column:
@@ -96,11 +96,11 @@ def offset_widths(parsed: Column) -> Column:
     def step(acc: Column, m: Column) -> Column:
         size = F.coalesce(m["s"], F.lit(0))
         item = F.array(F.struct(acc["at"].alias("off"), size.alias("width")))
-        out = F.when((m["T"] != PADDING) & (size > 0), F.concat(acc["out"], item)).otherwise(acc["out"])
+        out = F.when((m["code"] != PADDING) & (size > 0), F.concat(acc["out"], item)).otherwise(acc["out"])
         return F.struct((acc["at"] + size).cast("bigint").alias("at"), out.alias("out"))
 
     found = F.array_distinct(F.aggregate(parsed["l"], start, step, lambda acc: acc["out"]))
-    return F.when((parsed["T"] == STRUCT) & (F.size(found) > 0), found)
+    return F.when((parsed["code"] == STRUCT) & (F.size(found) > 0), found)
 
 
 def named_offsets(parsed: Column) -> Column:
@@ -109,16 +109,16 @@ def named_offsets(parsed: Column) -> Column:
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<n:string,off:bigint>>").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
-        named = m["s"].isNotNull() & m["n"].isNotNull() & (m["T"] != PADDING)
+        named = m["s"].isNotNull() & m["n"].isNotNull() & (m["code"] != PADDING)
         item = F.array(F.struct(m["n"].alias("n"), acc["at"].alias("off")))
         kept = F.filter(acc["out"], lambda x: x["n"] != m["n"])
         return F.struct((acc["at"] + F.coalesce(m["s"], F.lit(0))).cast("bigint").alias("at"), F.when(named, F.concat(kept, item)).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(parsed["l"], start, step, lambda acc: acc["out"])
     opaque = F.exists(parsed["l"], lambda m: m["s"].isNotNull() & m["n"].isNotNull() & F.coalesce(m["t"].startswith("$"), F.lit(False)))
-    return F.when((parsed["T"] == STRUCT) & ~opaque, found)
+    return F.when((parsed["code"] == STRUCT) & ~opaque, found)
 
 
 def signature(parsed: Column) -> Column:
     """T-20: what makes two struct definitions equal whatever their names."""
-    return F.when((parsed["T"] == STRUCT) & parsed["l"].isNotNull(), F.struct(parsed["s"].alias("s"), F.transform(parsed["l"], lambda m: F.struct(m["T"].alias("T"), m["t"].alias("t"), m["s"].alias("s"))).alias("l")))
+    return F.when((parsed["code"] == STRUCT) & parsed["l"].isNotNull(), F.struct(parsed["s"].alias("s"), F.transform(parsed["l"], lambda m: F.struct(m["code"].alias("code"), m["t"].alias("t"), m["s"].alias("s"))).alias("l")))

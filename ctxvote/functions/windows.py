@@ -12,17 +12,28 @@ PAD = "??"
 SIZES = (48, 12, 8, 4, 2)
 
 
-def span_hash(span: Column, discriminator: Column) -> Column:
+#: Tokens of a sequence that are looked at together, so that a long sequence is many small rows.
+BLOCK = 1024
+
+
+def span_names(span: Column) -> Column:
+    """The marked tokens of a span that are renamed, in order of first appearance."""
+    return F.array_distinct(F.filter(span, lambda t: is_marked(t) & (F.octet_length(t) > 4)))
+
+
+def span_hash(span: Column, discriminator: Column, found: Column | None = None) -> Column:
     """T-6: 24 hexadecimal digits of SHA-256 over the span and its discriminator.
 
     Tokens are joined by the byte FF.  Marked tokens are renamed in order of first appearance within the span, so
-    contexts that differ in names only are equal.
+    contexts that differ in names only are equal.  `found` is a column with `span_names` of the span: as a column it
+    is computed once, not once for each token.
     """
-    names = F.array_distinct(F.filter(span, lambda t: is_marked(t) & (F.octet_length(t) > 4)))
-    renamed = F.transform(span, lambda t: F.when(F.array_contains(names, t), F.concat(F.lit("@@var_"), (F.array_position(names, t) - 1).cast("string"), F.lit("@@"))).otherwise(t))
-    # `FF` is no UTF-8 byte, so Latin-1 text cannot stand for it: join as binary.
+    found = span_names(span) if found is None else found
+    renamed = F.transform(span, lambda t: F.when(F.array_contains(found, t), F.concat(F.lit("@@var_"), (F.array_position(found, t) - 1).cast("string"), F.lit("@@"))).otherwise(t))
+    renamed = F.when(F.size(found) > 0, renamed).otherwise(span)
+    # FF begins no UTF-8 character, so the join is of bytes.
     joined = F.aggregate(renamed, F.lit(b""), lambda a, t: F.concat(a, F.lit(b"\xff"), F.encode(t, "UTF-8")))
-    whole = F.concat(F.substring(joined, F.lit(2), F.length(joined)), F.encode(discriminator, "UTF-8"))
+    whole = F.concat(F.substring(joined, 2, 2**31 - 1), F.encode(discriminator, "UTF-8"))
     return F.substring(F.sha2(whole, 256), 1, 24)
 
 
@@ -50,26 +61,32 @@ def context_windows(entries: DataFrame, sizes=SIZES, flanking: bool = True, full
     pad = F.array_repeat(F.lit(PAD), widest)
     # Normalisation keeps segment borders, whatever it makes of other tokens.
     stripped = F.zip_with("tokens", strip_tokens(F.col("tokens"), full_strip), lambda t, s: F.when(t == SEGMENT, t).otherwise(s))
-    df = entries.select("entry_id", *keep, "tokens", stripped.alias("_stripped"))
-    df = df.select("entry_id", *keep, F.concat(pad, "_stripped", pad).alias("_padded"), F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("token"))), lambda x: is_marked(x["token"])).alias("_targets"))
-    df = df.select("entry_id", *keep, "_padded", F.explode("_targets").alias("_t"))
-    df = df.select("entry_id", *keep, "_padded", F.col("_t.pos").alias("pos"), name_of(F.col("_t.token")).alias("var"))
-    df = df.withColumn("kind", kind_of(F.col("var")))
+    df = entries.select("entry_id", *keep, "tokens", F.concat(pad, stripped, pad).alias("_padded"))
+    # Blocks of the sequence with as much on either side as the widest window reaches.
+    blocks = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / BLOCK).cast("int"))
+    block = lambda b: F.struct((b * BLOCK).alias("at"), F.slice("tokens", b * BLOCK + 1, F.lit(BLOCK)).alias("tokens"), F.slice("_padded", b * BLOCK + 1, F.lit(BLOCK + 2 * widest)).alias("padded"))
+    df = df.where(F.size("tokens") > 0).select("entry_id", *keep, F.explode(F.transform(blocks, block)).alias("_b"))
+    targets = F.filter(F.transform("_b.tokens", lambda t, i: F.struct(i.alias("i"), t.alias("token"))), lambda x: is_marked(x["token"]))
+    df = df.select("entry_id", *keep, F.col("_b.at").alias("_at"), F.col("_b.padded").alias("_padded"), targets.alias("_targets"))
+    df = df.withColumn("_borders", F.array_contains("_padded", SEGMENT))
+
+    def spans_of(target: Column) -> Column:
+        var, at = name_of(target["token"]), target["i"] + widest
+        made = []
+        for n in sizes:
+            left, right = F.slice("_padded", at - n + 1, F.lit(n)), F.slice("_padded", at + 2, F.lit(n))
+            left = F.when(F.col("_borders"), _masked_left(left, n)).otherwise(left)
+            right = F.when(F.col("_borders"), _masked_right(right)).otherwise(right)
+            sides = [(False, left), (True, right)] if flanking else [(None, F.concat(left, F.slice("_padded", at + 1, F.lit(1)), right))]
+            made += [F.struct((F.col("_at") + target["i"]).alias("pos"), var.alias("var"), F.lit(n).alias("n"), F.lit(side).cast("boolean").alias("flank"), span.alias("span")) for side, span in sides]
+        return F.array(*made)
+
+    df = df.select("entry_id", *keep, F.explode(F.flatten(F.transform("_targets", spans_of))).alias("_w")).select("entry_id", *keep, "_w.*")
+    df = df.withColumn("kind", kind_of(F.col("var"))).withColumn("_names", span_names(F.col("span")))
     short = F.when(F.col("kind") == "function", "fn").otherwise("var")
-    at = F.col("pos") + widest  # the place of the target in the padded sequence, from 0
-    windows = []
-    for n in sizes:
-        left = _masked_left(F.slice("_padded", at - n + 1, F.lit(n)), n)
-        right = _masked_right(F.slice("_padded", at + 2, F.lit(n)))
-        if flanking:
-            sides = [(F.lit(False), left, F.concat(F.lit("left_"), short)), (F.lit(True), right, F.concat(F.lit("right_"), short))]
-        else:
-            sides = [(F.lit(None).cast("boolean"), F.concat(left, F.slice("_padded", at + 1, F.lit(1)), right), short)]
-        for side, span, discriminator in sides:
-            fields = [F.lit(n).alias("n"), side.alias("flank"), span_hash(span, discriminator).alias("hash")]
-            windows.append(F.struct(*fields, *([span.alias("span")] if spans else [])))
-    out = df.select("entry_id", *keep, "pos", "var", "kind", F.explode(F.array(*windows)).alias("_w"))
-    return out.select("entry_id", *keep, "pos", "var", "kind", "_w.*")
+    side = F.when(F.col("flank"), F.lit("right_")).when(~F.col("flank"), F.lit("left_")).otherwise("")
+    hashed = span_hash(F.col("span"), F.concat(side, short), F.col("_names"))
+    return df.select("entry_id", *keep, "pos", "var", "kind", "n", "flank", hashed.alias("hash"), *(["span"] if spans else []))
 
 
 def occurrences(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

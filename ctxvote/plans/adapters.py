@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input of fewer splits than cores over all cores: sequences are heavy, and a small file is one split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def mark_words(words: Column) -> Column:
     """Words of ten characters or more become targets; those of odd length functions."""
     name = lambda t: F.concat(F.when(F.length(t) % 2 == 1, "sub_").otherwise(""), t)
@@ -42,7 +48,7 @@ def made_label(var: Column, lang: Column) -> Column:
 
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`entry_id, tokens, labels, meta` of `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0))
     df = docs.select(F.col("doc_id").alias("entry_id"), mark_words(words).alias("tokens"), "lang", "source")
     names = F.array_distinct(F.transform(F.filter("tokens", is_marked), name_of))
