@@ -64,7 +64,7 @@ def accuracy(rows: DataFrame, threshold: float | None = None) -> DataFrame:
     """A-14: by kind: accuracy, coverage and selective risk.  Coverage divides by all records, category 10 included."""
     kept = ~F.col("label_missing") & (F.lit(True) if threshold is None or threshold >= 1.0 else F.col("score") >= threshold)
     out = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n_records"), _n(kept, "n_written"), _n(kept & exact(), "n_correct"))
-    return out.select("kind", "n_records", "n_written", "n_correct", _ratio("n_correct", "n_written", "accuracy", False), _ratio("n_written", "n_records", "coverage"), F.round(1 - F.col("n_correct") / F.col("n_written"), 6).alias("selective_risk"))
+    return out.select("kind", "n_records", "n_written", "n_correct", _ratio("n_correct", "n_written", "accuracy", False), _ratio("n_written", "n_records", "coverage"), F.round(1 - F.try_divide("n_correct", "n_written"), 6).alias("selective_risk"))
 
 
 def threshold_stats(rows: DataFrame, threshold: float) -> DataFrame:
@@ -118,7 +118,7 @@ def top_missing(rows: DataFrame, n: int = 3) -> DataFrame:
 def functions_by_address(rows: DataFrame) -> DataFrame:
     """A-18, J-12: `addr, label_fn, best_fn, n_votes`: of each address the function name with the largest summed score; the label is
     that of the first record; best_fn is null where no prediction was written."""
-    found = rows.where("kind = 'function'").withColumn("addr", names.sub_address(F.concat(F.lit("sub_"), F.col("var")))).where("addr is not null")
+    found = rows.where("kind = 'function'").withColumn("addr", names.sub_address(F.col("var"))).where("addr is not null")
     labels = found.groupBy("addr").agg(F.min_by("label_fn", F.struct("entry_id", "var")).alias("label_fn"))
     sums = written(found).groupBy("addr", "pred_fn").agg(F.round(F.sum("score"), 9).alias("total"), F.count(F.lit(1)).alias("n_votes"))
     order = Window.partitionBy("addr").orderBy(F.desc("total"), F.desc("n_votes"), "pred_fn")
@@ -159,7 +159,7 @@ def struct_metrics(rows: DataFrame) -> DataFrame:
         _n(label, "n_labels"), _n(pred, "n_predicted"), _n(var, "n_variables"), _n(var & label & exact(), "n_exact"), _n(var & label & ~exact() & fuzzy, "n_fuzzy"), _n(wrong, "n_wrong"), _n(wrong & ~F.col("known"), "n_unknown"),
         _n(wrong & label, "wrong_struct"), _n(wrong & ~label, "not_struct"), _n(pred & var & ~label, "false_positives"), _n(~pred & var & label, "false_negatives"),
     )
-    return out.select("*", _ratio("n_exact", "n_labels", "exact_rate"), F.round((F.col("n_exact") + F.col("n_fuzzy")) / F.col("n_labels"), 6).alias("fuzzy_rate"), F.round(F.col("false_negatives") / F.col("n_labels"), 6).alias("fnr"), F.round(F.col("false_positives") / (F.col("n_variables") - F.col("n_labels")), 6).alias("fpr"))
+    return out.select("*", _ratio("n_exact", "n_labels", "exact_rate"), F.round(F.try_divide(F.col("n_exact") + F.col("n_fuzzy"), F.col("n_labels")), 6).alias("fuzzy_rate"), F.round(F.try_divide("false_negatives", "n_labels"), 6).alias("fnr"), F.round(F.try_divide(F.col("false_positives"), F.col("n_variables") - F.col("n_labels")), 6).alias("fpr"))
 
 
 def layout_rates(rows: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def composite_prf(rows: DataFrame) -> DataFrame:
 
 def composite_average(by_category: DataFrame) -> DataFrame:
     """A-25: the average over categories weighted by their labels."""
-    weighted = lambda c: F.round(F.sum(F.col(c) * F.col("n_labels")) / F.sum("n_labels"), 6).alias(c)
+    weighted = lambda c: F.round(F.try_divide(F.sum(F.col(c) * F.col("n_labels")), F.sum("n_labels")), 6).alias(c)
     return by_category.agg(F.sum("n_labels").cast("long").alias("n_labels"), weighted("precision"), weighted("recall"), weighted("f1"))
 
 

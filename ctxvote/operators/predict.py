@@ -9,7 +9,7 @@ from ..functions.windows import SIZES, context_windows, occurrences
 from .model import BROADCAST_LABELS, _label
 
 #: What marks a composite type (struct, pointer) inside a label; the spacing matters.
-COMPOSITE_MARKS = ('": 6,"', '": 3,"')
+COMPOSITE_MARKS = (": 6,", ": 3,")
 
 
 def matches(windows: DataFrame, model: DataFrame, small: bool = False) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names, text, types, windows
-from ..operators import dataset, metrics, model, predict, typesys
+from ..functions import names, text, windows
+from ..lineage import shared_table
+from ..operators import dataset, model, predict
 from . import sql
 from .adapters import conversation_entries, decompiled, document_entries, listings, odd_tokens, part_types, table
 
@@ -233,13 +234,13 @@ def trained(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(train entries, test entries, vocabulary, model) by the exact split."""
     entries = dataset.split_exact(document_entries(spark, sf_dir))
     train, test = entries.where("train").drop("train"), entries.where("not train").drop("train")
-    vocab = model.build_vocab(train)
-    return train, test, vocab, model.build_model(train, vocab)
+    vocab = shared_table(spark, sf_dir, "vocab", lambda: model.build_vocab(train))
+    return train, test, vocab, shared_table(spark, sf_dir, "model", lambda: model.build_model(train, vocab))
 
 
 def _solved(spark, sf_dir) -> DataFrame:
     _, test, _, counts = trained(spark, sf_dir)
-    return predict.back_off(predict.matches(windows.context_windows(test), counts))
+    return shared_table(spark, sf_dir, "solved", lambda: predict.back_off(predict.matches(windows.context_windows(test), counts)))
 
 
 @query("split_exact", sql.chain(sql.ENTRIES.split(",\npadded")[0], sql.SPLIT) + "SELECT * FROM split")
@@ -283,7 +284,7 @@ def predict_top1(spark, sf_dir):
 def predictions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(top-5 predictions of the test entries, vocabulary)."""
     _, test, vocab, counts = trained(spark, sf_dir)
-    return predict.predict(test, counts), vocab
+    return shared_table(spark, sf_dir, "predictions", lambda: predict.predict(test, counts)), vocab
 
 
 @query("predict_topn", sql.chain(*sql.PREDICTED) + "SELECT entry_id, var, kind, rank, pred, label, count, round(score, 6) AS score FROM predictions")

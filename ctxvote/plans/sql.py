@@ -111,7 +111,7 @@ solved AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY entry_id, pos, fla
 shares AS (SELECT *, count / sum(count) OVER (PARTITION BY entry_id, pos, flank) AS p FROM solved),
 votes AS (SELECT entry_id, var, kind, label AS name, sum(p) AS sum_p, count(*) AS hits FROM shares GROUP BY ALL),
 scored AS (SELECT entry_id, var, kind, row_number() OVER (PARTITION BY entry_id, var, kind ORDER BY round(0.5 * (sum_p + hits), 9) DESC, name) AS rank, name AS pred, sum_p / hits AS score FROM votes),
-marked AS (SELECT *, contains(pred, '": 6,"') OR contains(pred, '": 3,"') AS composite FROM scored),
+marked AS (SELECT *, contains(pred, ': 6,') OR contains(pred, ': 3,') AS composite FROM scored),
 seen AS (SELECT *, sum(CASE WHEN composite THEN 0 ELSE 1 END) OVER (PARTITION BY entry_id, var, kind ORDER BY rank) AS primitives FROM marked),
 single AS (SELECT entry_id, var, kind, pred, score, row_number() OVER (PARTITION BY entry_id, var, kind ORDER BY rank) AS rank FROM seen WHERE kind = 'function' OR composite OR primitives = 1),
 predictions AS (SELECT p.entry_id, p.var, p.kind, p.rank, p.pred, t.label, t.n_occurrences AS count, p.score FROM single p JOIN truth t USING (entry_id, var) WHERE t.human AND p.rank <= 5)"""

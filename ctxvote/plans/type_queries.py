@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import types
+from ..lineage import shared_table
 from ..operators import dataset, metrics, typesys
 from . import sql
 from .adapters import document_entries, part_types
@@ -145,7 +146,7 @@ _REPORT_SQL = sql.chain(*_REPORT)
 
 
 def _records(spark, sf_dir) -> DataFrame:
-    return metrics.records(*predictions(spark, sf_dir))
+    return shared_table(spark, sf_dir, "records", lambda: metrics.records(*predictions(spark, sf_dir)))
 
 
 def _report(name: str, oracle: str):
@@ -204,7 +205,7 @@ def top_missing(rows):
     return metrics.top_missing(rows)
 
 
-_ADDRESS = """, fns AS (SELECT *, nullif(regexp_extract('sub_' || var, '(?s)\\A.*?sub_([0-9a-fA-F]*)', 1), '') AS addr FROM records WHERE kind = 'function'),
+_ADDRESS = """, fns AS (SELECT *, nullif(regexp_extract(var, '(?s)\\A.*?sub_([0-9a-fA-F]*)', 1), '') AS addr FROM records WHERE kind = 'function'),
 addr_labels AS (SELECT addr, arg_min(label_fn, {'e': entry_id, 'v': var}) AS label_fn FROM fns WHERE addr IS NOT NULL GROUP BY addr),
 addr_sums AS (SELECT addr, pred_fn, round(sum(score), 9) AS total, count(*) AS n_votes FROM fns WHERE addr IS NOT NULL AND NOT label_missing GROUP BY ALL),
 addr_best AS (SELECT addr, pred_fn AS best_fn, n_votes FROM addr_sums QUALIFY row_number() OVER (PARTITION BY addr ORDER BY total DESC, n_votes DESC, pred_fn) = 1),
