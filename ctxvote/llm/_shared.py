@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 from collections.abc import Iterator
 
@@ -60,8 +63,23 @@ def byte_slices(column: pa.Array) -> Iterator[memoryview]:
         yield data[offsets[i] : offsets[i + 1]]
 
 
-def text_runs(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into runs of rows whose `text` holds at most about `limit` bytes; a longer text is a run."""
+def release_memory(encoders: bool = True) -> None:
+    """Give back what a worker has kept from earlier tasks: freed Arrow and heap pages, and other operators' encoders."""
+    tokens = sys.modules.get("ctxvote.llm.tokens")
+    if encoders and tokens is not None:
+        tokens._ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_runs(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21, encoders: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of rows whose `text` holds at most about `limit` bytes; a longer text is a run.
+
+    Workers outlive tasks: memory of earlier ones is released first, encoders too unless the caller uses them.
+    """
+    release_memory(not encoders)
     for batch in batches:
         column = batch.column("text")
         start = held = 0
@@ -79,6 +97,7 @@ def keep_rows(docs: DataFrame, wanted, text_col: str) -> DataFrame:
     ensure_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             place = batch.schema.get_field_index(text_col)
             texts = batch.column(place).cast(pa.large_string()).fill_null("")

@@ -6,10 +6,12 @@ on the shingle alone.  A document throws the darts of its shingles up to the ran
 fallen, and of those on each coordinate the earliest stays: one pass yields all coordinates, and two documents
 agree on one with the probability of their (weighted) Jaccard similarity.
 
-Bands of `ROWS` coordinates go to buckets.  Every bucket's members are paired with its smallest member, and
-candidate pairs are verified by the exact similarity of the whole texts.  Where a bucket still holds several
-components, members outside its largest one are paired with those of other components, a growing number in each
-round, until no untested pair is left: no links are lost and pairs within a component are not spent.
+Bands of `ROWS` coordinates go to buckets.  A bucket has up to `PIVOTS` pivots, its first members in as many hash
+orders; every member is paired with them, and candidate pairs are verified by the exact similarity of the whole
+texts.  In buckets of up to `SMALL` members all pairs that are still in different components follow, so there no link
+can be lost.  In larger ones a link needs a common pivot in one of the buckets that a pair shares (seven of the
+`BANDS` at a similarity of 0.8, nine at 0.85), or a path through other members; the work stays linear in the size of
+a group.
 """
 
 from __future__ import annotations
@@ -18,17 +20,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, joined_docs, lowered, mix, window_hashes, word_hashes
-from ._shared import byte_slices, cut, own_rows, partitions_of, sized_join, text_runs
+from ._shared import byte_slices, cut, own_rows, partitions_of, release_memory, sized_join, text_runs
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8 a pair shares a band with a probability of 1 - (1 - 0.8**6)**28 = 0.9998.
 BANDS, ROWS = 28, 6
+#: Pivots of a bucket, and members up to which all its pairs are tested.
+PIVOTS, SMALL = 4, 16
 #: Partners that are verified beside one copy of a pivot.
 SALT = 256
 
@@ -171,6 +175,7 @@ def _verifier(weights: str, similarity: float):
     def verify(batches):
         import zstandard
 
+        release_memory()
         z = zstandard.ZstdDecompressor()
 
         def load(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -228,26 +233,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = signed.select(F.col("row").alias("node"), "packed")
     members = signed.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node", "left_semi")
     members = members.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(members.join(buckets.drop("n"), "bucket"))
-
-    tested = cut(members.where("node <> pivot").select("pivot", "node").distinct())
+    orders = [F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)]
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *orders).where("n > 1")
+    buckets = buckets.select("bucket", "n", F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots"))
+    members = cut(members.join(buckets, "bucket"))
+
+    # A node meets the same pivots in most of its buckets: they are gathered before they are paired.
+    met = members.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))
+    tested = cut(met.select(F.explode("pivots").alias("pivot"), "node").where("pivot <> node"))
     links = cut(_links(tested, texts, weights, similarity))
     roots = components(links)
-    pivots = 4
-    while True:
-        open_members = cut(_open_members(members, roots))
-        most = open_members.agg(F.max("nth")).first()[0] or 0  # the most members outside the largest component
-        if not most:
-            break
-        pairs = cut(_untested(open_members, tested, pivots))
-        if not pairs.isEmpty():
-            links = cut(links.union(_links(pairs, texts, weights, similarity)))
-            roots = components(links)
-            tested = cut(tested.union(pairs))
-        elif most <= pivots:
-            break
-        pivots *= 8
+    pairs = cut(_untested(members.where(F.col("n") <= SMALL).select("bucket", "node"), roots, tested))
+    if not pairs.isEmpty():
+        roots = components(links.union(_links(pairs, texts, weights, similarity)))
 
     found = nodes.join(roots, "node", "left").select("key1", "key2", F.coalesce("root", "node").alias("root"))
     labelled = signed.select("row", "doc_id", "text_key", "n_words", "key1", "key2").join(found, ["key1", "key2"], "left")
@@ -259,20 +257,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
-def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """`(bucket, node, root, nth)` of buckets with several components; nth numbers the members outside the largest."""
-    labelled = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    sizes = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    found = labelled.join(largest.select("bucket", "largest"), "bucket")
-    inside = found.where("root = largest").select("bucket", "node", "root", F.lit(None).cast("int").alias("nth"))
-    outside = found.where("root <> largest")
-    return inside.union(outside.select("bucket", "node", "root", F.row_number().over(Window.partitionBy("bucket").orderBy("node")).alias("nth")))
-
-
-def _untested(open_members: DataFrame, tested: DataFrame, pivots: int) -> DataFrame:
-    """Pairs of a bucket in different components: its first members outside the largest, with all others."""
-    chosen = open_members.where(F.col("nth") <= pivots).select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-    met = open_members.select("bucket", "node", "root").join(chosen, "bucket").where("root <> pivot_root")
-    pairs = met.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
-    return pairs.join(tested, ["pivot", "node"], "left_anti")
+def _untested(members: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
+    """The pairs of a bucket that lie in different components and have not been tested, of buckets with few members."""
+    labelled = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    several = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+    there = labelled.join(several, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("m"))  # at most SMALL
+    one = lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["root"] != x["root"])), lambda y: F.struct(x["node"].alias("pivot"), y["node"].alias("node")))
+    pairs = there.select(F.explode(F.flatten(F.transform("m", one))).alias("p")).select("p.pivot", "p.node").distinct()
+    turned = tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"))
+    return pairs.join(tested.union(turned), ["pivot", "node"], "left_anti")
