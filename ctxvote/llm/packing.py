@@ -124,10 +124,12 @@ def encode_documents(docs: DataFrame, tokenizer: str | None, end_id: int, id_col
     return cut(encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", "ids"))
 
 
-def unpack_ids(packed: bytes) -> np.ndarray:
+def unpack_ids(packed: bytes) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), f"<u{packed[0]}").astype("<u4")
+    raw = zstandard.ZstdDecompressor().decompress(packed[1:])
+    return raw if packed[0] == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
 def pack(docs: DataFrame, window: int = 2048, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,15 +174,18 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str | None = None, end_
 
     def give(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc_id, n, packed, pieces, first_full = (batch.column(c)[i].as_py() for c in ("doc_id", "n", "ids", "pieces", "first_full"))
-                ids = unpack_ids(packed)
+            ids, out = [], {c: [] for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")}
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "pieces", "first_full")), strict=True)
+            for k, (doc_id, n, packed, pieces, first_full) in enumerate(rows):
+                raw = unpack_ids(packed)
                 found = [(j * window, window, first_full + j, 0) for j in range(n // window)]
-                found += [(p["start"], p["length"], p["sequence_id"], p["offset"]) for p in pieces or []]
-                starts, lengths, sequences, offsets = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id] * len(found), pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array([ids[s : s + x].tobytes() for s, x in zip(starts, lengths, strict=True)], pa.binary()), pa.array([n] * len(found), pa.int64()), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())],
-                    ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-                )
-
-    return encoded.join(placed, "row").mapInArrow(give, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+                found += [(p["start"], p["length"], p["sequence_id"], p["offset"]) for p in pieces or ()]
+                for start, length, sequence, offset in found:
+                    ids.append(raw[4 * start : 4 * (start + length)])
+                    for c, v in zip(out, (doc_id, start, length, n, sequence, offset), strict=True):
+                        out[c].append(v)
+                if len(ids) >= 1000 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *[pa.array(v, pa.int64()) for v in out.values()]], ["ids", *out])
+                    ids, out = [], {c: [] for c in out}
+
+    return encoded.join(placed, "row").mapInArrow(give, "ids binary, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long")

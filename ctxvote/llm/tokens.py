@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 #: A space that does not stand directly before a non-space character: no cut is safe there.
 _UNSAFE = re.compile(r" (?=\s|\Z)")
 #: Pieces kept by a worker, in each of two generations.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 250_000
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -40,59 +40,78 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        byte_level = '"ByteLevel"' in str(self.tokenizer.pre_tokenizer) or "ByteLevel" in str(self.tokenizer.pre_tokenizer)
-        self.by_piece = byte_level and self.tokenizer.normalizer is None
+        self.by_piece = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(") and self.tokenizer.normalizer is None
+        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each token: its characters stand for them
+        for token, number in self.tokenizer.get_vocab().items():
+            self.size[number] = len(token)
+        #: The ids of a piece with the space before it, by the piece alone.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _fill(self, pieces: list[str]) -> None:
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _encode_spaced(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces with a space before each, encoded in one run and parted by the bytes of the tokens."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 4000):
+            some = pieces[at : at + 4000]
+            ids = np.frombuffer(self.whole(" " + " ".join(some)), "<u4")
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) + 1 for p in some])) + 1
+            raw = ids.tobytes()
+            ends = (4 * ends).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _fill(self, pieces: dict[str, None]) -> None:
         """Bring pieces into the cache.  A word and a comma or full stop after it are encoded apart, as in any text."""
         young, old = self.young, self.old
         missing: dict[str, None] = {}
         tailed: list[str] = []
         for p in pieces:
-            if p in young:
-                continue
             if p in old:
                 young[p] = old[p]
-            elif len(p) > 3 and p[-1] in ",." and p[1:-1].isalpha() and p[0] == " " and max(p) < "ɐ":
+            elif p[-1] in ",." and p[:-1].isalpha() and max(p) < "ɐ":
                 tailed.append(p)
                 word = p[:-1]
-                if word in old:
-                    young[word] = old[word]
-                elif word not in young:
-                    missing[word] = None
-                missing |= {} if p[-1] in young else {p[-1]: None}
+                if word not in young:
+                    if word in old:
+                        young[word] = old[word]
+                    else:
+                        missing[word] = None
             else:
                 missing[p] = None
-        if missing:
-            todo = list(missing)
-            young.update(zip(todo, self.whole(todo), strict=True))
+        todo = list(missing)
+        young.update(zip(todo, self._encode_spaced(todo), strict=True))
+        marks = {m: self.whole(m) for m in ",."} if tailed else {}
         for p in tailed:
-            young[p] = young[p[:-1]] + young[p[-1]]
+            young[p] = young[p[:-1]] + marks[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        get = self.young.get
         out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        waiting: list[tuple[int, bytes, list[str], list[bytes | None]]] = []
+        missing: dict[str, None] = {}
         for i, t in enumerate(texts):
-            if not t:
-                out[i] = b""
-            elif not self.by_piece or _UNSAFE.search(t):
-                out[i] = self.whole([t])[0]
+            if not self.by_piece or _UNSAFE.search(t):
+                out[i] = self.whole(t)
+                continue
+            first, _, rest = t.partition(" ")
+            head = self.whole(first) if first else b""
+            pieces = rest.split(" ") if _ else []
+            ids = list(map(get, pieces))
+            if None in ids:
+                missing.update((p, None) for p, x in zip(pieces, ids, strict=True) if x is None)
+                waiting.append((i, head, pieces, ids))
             else:
-                first, *rest = t.split(" ")
-                cut.append((i, [first, *[f" {x}" for x in rest]] if first else [f" {x}" for x in rest]))
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        seen = set().union(*(p for _, p in cut)) if cut else set()
-        self._fill([p for p in seen if p not in self.young])
-        get = self.young.__getitem__
-        for i, pieces in cut:
-            out[i] = b"".join(map(get, pieces))
+                out[i] = head + b"".join(ids)
+        if missing:
+            self._fill(missing)
+        for i, head, pieces, ids in waiting:
+            out[i] = head + b"".join([get(p) if x is None else x for p, x in zip(pieces, ids, strict=True)])
         return out  # type: ignore[return-value]
 
 
@@ -116,7 +135,7 @@ def encoded_rows(spark: SparkSession, path: str | None, end_id: int) -> Callable
         from ctxvote.llm._shared import text_runs
 
         enc = encoder(vocabulary.value)
-        for batch in text_runs(batches, 1 << 20):
+        for batch in text_runs(batches, 1 << 20, encoders=True):
             yield batch, [x + end for x in enc.encode(batch.column("text").to_pylist())]
 
     return run
