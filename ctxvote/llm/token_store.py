@@ -41,19 +41,24 @@ REMEMBERED = 200_000
 _CRC_POLY = 0xEDB88320
 
 
-def chunk_ends(ids: np.ndarray) -> np.ndarray:
-    """The end positions of the chunks of an id stream; the last is its length."""
-    n = len(ids)
+def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
+    """The end positions of the chunks of documents that stand one after another; each document's end is one.
+
+    A chunk ends where the hash of the `ROLL` ids before says so, all of them of the same document.
+    """
     h = ids.astype(np.uint64) + np.uint64(1)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     step, base = 1, np.uint64(0xD6E8FEB86659FD93)
-    while step < ROLL:  # the hash of the `ROLL` ids up to each position, by doubling
-        h[step:] = h[step:] + h[:-step] * base
-        base, step = base * base, step * 2
+    with np.errstate(over="ignore"):
+        while step < ROLL:  # the hash of the `ROLL` ids up to each position, by doubling
+            h[step:] = h[step:] + h[:-step] * base
+            base, step = base * base, step * 2
     found = np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1
-    ends = np.unique(np.append(found[found < n], n))
+    starts = np.concatenate([[0], doc_ends])
+    found = found[found - starts[np.searchsorted(doc_ends, found, "left")] >= ROLL]
+    ends = np.unique(np.concatenate([found, doc_ends]))
     gaps = np.diff(ends, prepend=0)
     if len(gaps) and gaps.max() > LONGEST:
         ends = np.concatenate([np.append(np.arange(e - g + LONGEST, e, LONGEST), e) for e, g in zip(ends, gaps, strict=True)])
@@ -128,27 +133,32 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     def encode(batches):
         import zstandard
 
-        z, seen = zstandard.ZstdCompressor(level=3), {}
+        z, seen = zstandard.ZstdCompressor(level=3), set()
         for batch, texts in run(batches):
-            recipes, packs = [], {}
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = np.frombuffer(raw, "<u4")
-                ends = chunk_ends(ids)
-                digests, start = [], 0
-                for end in ends:
+            packs: dict[int, list] = {}
+            raw = b"".join(texts)
+            ids = np.frombuffer(raw, "<u4")
+            doc_ends = np.cumsum([len(x) // 4 for x in texts])
+            ends = chunk_ends(ids, doc_ends)
+            lengths = np.diff(ends, prepend=0).astype("<u4")
+            places = ends.tolist()
+            digests = [hashlib.sha256(raw[4 * a : 4 * b]).digest() for a, b in zip([0, *places], places, strict=False)]
+            start = 0
+            for digest, end in zip(digests, places, strict=True):
+                if digest not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(digest)
                     piece = ids[start:end]
-                    digest = hashlib.sha256(piece.tobytes()).digest()
-                    digests.append(digest)
-                    if digest not in seen:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen[digest] = None
-                        piece = piece.astype("<u2") if piece.max() < 1 << 16 else piece
-                        packs.setdefault(int.from_bytes(digest[:4], "big") % n, []).append((digest, piece.itemsize, piece.tobytes()))
-                    start = end
-                lengths = np.diff(ends, prepend=0).astype("<u4").tobytes()
-                recipes.append((doc_id, len(ids), b"".join(digests), lengths, merkle_root(digests)))
-            rows = [(int.from_bytes(r[4][:4], "big") % n, *r, None) for r in recipes]
+                    piece = piece.astype("<u2") if piece.max() < 1 << 16 else piece
+                    packs.setdefault(int.from_bytes(digest[:4], "big") % n, []).append((digest, piece.itemsize, piece.tobytes()))
+                start = end
+            rows, first = [], 0
+            for doc_id, last, x in zip(batch.column("doc_id").to_pylist(), np.searchsorted(ends, doc_ends, "right").tolist(), texts, strict=True):
+                own = digests[first:last]
+                bucket = zlib.crc32(str(doc_id).encode()) % n
+                rows.append((bucket, doc_id, len(x) // 4, b"".join(own), lengths[first:last].tobytes(), merkle_root(own), None))
+                first = last
             for bucket, chunks in packs.items():
                 heads = b"".join(d + np.asarray([w, len(b)], "<u4").tobytes() for d, w, b in chunks)
                 pack = np.asarray([len(chunks)], "<u4").tobytes() + heads + b"".join(b for _, _, b in chunks)
@@ -243,15 +253,21 @@ def _entries(recipes: DataFrame) -> DataFrame:
     """One row per chunk of each verified recipe: `doc_id, start, n_tokens, nth, digest, tail` (ids behind the chunk)."""
 
     def explode(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc_id, start, n, digests, lengths, root = (batch.column(c)[i].as_py() for c in ("doc_id", "start", "n_tokens", "digests", "lengths", "root"))
-                leaves = [digests[k : k + 32] for k in range(0, len(digests), 32)]
-                if merkle_root(leaves) != root:
-                    raise ValueError(f"the recipe of document {doc_id} does not fit its Merkle root")
-                sizes = np.frombuffer(lengths, "<u4").astype(np.int64)
-                m = len(leaves)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * m, pa.int64()), pa.array([start] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array(np.arange(m)), pa.array(leaves, pa.binary()), pa.array(n - np.cumsum(sizes))], ["doc_id", "start", "n_tokens", "nth", "digest", "tail"])
+        for big in batches:
+            for at in range(0, big.num_rows, 2000):
+                batch = big.slice(at, 2000)
+                roots, counts, leaves, tails = batch.column("root").to_pylist(), [], [], []
+                starts, totals = np.asarray(batch.column("start")), np.asarray(batch.column("n_tokens"))
+                for k, (digests, lengths) in enumerate(zip(batch.column("digests").to_pylist(), batch.column("lengths").to_pylist(), strict=True)):
+                    own = [digests[i : i + 32] for i in range(0, len(digests), 32)]
+                    if merkle_root(own) != roots[k]:
+                        raise ValueError(f"the recipe at {starts[k]} does not fit its Merkle root")
+                    counts.append(len(own))
+                    leaves += own
+                    tails.append(totals[k] - np.cumsum(np.frombuffer(lengths, "<u4").astype(np.int64)))
+                of = pa.array(np.repeat(np.arange(len(counts)), counts))
+                nth = np.concatenate([np.arange(c) for c in counts])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("start").take(of), batch.column("n_tokens").take(of), pa.array(nth), pa.array(leaves, pa.binary()), pa.array(np.concatenate(tails))], ["doc_id", "start", "n_tokens", "nth", "digest", "tail"])
 
     return recipes.mapInArrow(explode, "doc_id long, start long, n_tokens long, nth long, digest binary, tail long")
 
