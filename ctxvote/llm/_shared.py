@@ -99,9 +99,17 @@ def keep_rows(docs: DataFrame, wanted, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         for batch in batches:
-            place = batch.schema.get_field_index(text_col)
-            texts = batch.column(place).cast(pa.large_string()).fill_null("")
-            yield batch.filter(pa.array(wanted([bytes(t) for t in byte_slices(texts)]), pa.bool_()))
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_string()).fill_null("")
+            sizes = [len(t) for t in byte_slices(texts)]
+            start = 0
+            while start < batch.num_rows:  # about 2 MB of text at a time
+                stop, held = start, 0
+                while stop < batch.num_rows and (stop == start or held + sizes[stop] <= 1 << 21):
+                    held += sizes[stop]
+                    stop += 1
+                flags = wanted([bytes(t) for t in byte_slices(texts.slice(start, stop - start))])
+                yield batch.slice(start, stop - start).filter(pa.array(flags, pa.bool_()))
+                start = stop
 
     return docs.mapInArrow(run, docs.schema)
 

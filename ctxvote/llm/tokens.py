@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 #: A space that does not stand directly before a non-space character: no cut is safe there.
 _UNSAFE = re.compile(r" (?=\s|\Z)")
 #: Pieces kept by a worker, in each of two generations.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 80_000
 
 
 def tokenizer_json(path: str | None = None) -> str:
