@@ -8,15 +8,15 @@ agree on one with the probability of their (weighted) Jaccard similarity.
 
 Bands of `ROWS` coordinates go to buckets.  A bucket has up to `PIVOTS` pivots, its first members in as many hash
 orders; every member is paired with them, and candidate pairs are verified by the exact similarity of the whole
-texts.  In buckets of up to `SMALL` members all pairs that are still in different components follow, so there no link
-can be lost.  In larger ones a link needs a common pivot in one of the buckets that a pair shares (seven of the
-`BANDS` at a similarity of 0.8, nine at 0.85), or a path through other members; the work stays linear in the size of
-a group.
+texts.  All pairs of a bucket that are still in different components follow, so no link within a bucket is lost: in
+buckets of up to `SMALL` members as rows, in larger ones in cells of up to about `BLOCK` by `BLOCK` members, which an
+index over the shingles of one side compares without a row for each pair.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8 a pair shares a band with a probability of 1 - (1 - 0.8**6)**28 = 0.9998.
 BANDS, ROWS = 28, 6
-#: Pivots of a bucket, and members up to which all its pairs are tested.
-PIVOTS, SMALL = 4, 16
+#: Pivots of a bucket, members up to which its open pairs are rows, and members on a side of a cell beyond that.
+PIVOTS, SMALL, BLOCK = 4, 16, 1024
 #: Partners that are verified beside one copy of a pivot.
 SALT = 256
 
@@ -215,6 +215,129 @@ def _links(pairs: DataFrame, texts: DataFrame, weights: str, similarity: float)
     return rows.mapInArrow(_verifier(weights, similarity), "u long, v long")
 
 
+class _Index:
+    """The shingles of some texts, for their exact similarities to another one."""
+
+    def __init__(self, nodes, roots, bands, grams, docs, times):
+        self.nodes, self.roots, self.bands = np.asarray(nodes), np.asarray(roots), np.asarray(bands, np.int64).reshape(len(nodes), -1)
+        order = np.argsort(grams, kind="stable")
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.first = np.append(first, len(grams))
+        self.docs, self.times = docs[order], times[order]
+        self.totals = np.bincount(docs, times, len(nodes)).astype(np.int64)
+
+    def links(self, bucket, root, bands, grams, times, similarity, upto) -> np.ndarray:
+        """Which of the first `upto` texts are similar enough, of those in other components that meet in `bucket` first."""
+        same = self.bands[:upto] == bands
+        first = np.argmax(same, axis=1)
+        total = int(times.sum())
+        small, big = np.minimum(self.totals[:upto], total), np.maximum(self.totals[:upto], total)
+        wanted = (self.roots[:upto] != root) & (self.bands[np.arange(upto), first] == bucket) & (small >= similarity * big - 1e-9)
+        if not wanted.any():
+            return np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        hit = self.grams[place] == grams
+        place, own = place[hit], times[hit]
+        counts = self.first[place + 1] - self.first[place]
+        ends = np.cumsum(counts)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[place] - (ends - counts), counts)
+        shared = np.bincount(self.docs[at], np.minimum(self.times[at], np.repeat(own, counts)), len(self.nodes))[:upto]
+        return np.flatnonzero(wanted & (shared >= similarity * (self.totals[:upto] + total - shared) - 1e-9))
+
+
+def _cell_verifier(weights: str, similarity: float):
+    """Rows (bucket, a, b, later, node, root, bands, packed) by cell, its indexed side first: the links (u, v)."""
+
+    def verify(batches):
+        import zstandard
+
+        release_memory()
+        z = zstandard.ZstdDecompressor()
+
+        def load(packed: list[bytes]):
+            grams, doc, _, _ = shingles(*joined_docs([z.decompress(x) for x in packed]))
+            g, d, times = distinct_shingles(grams, doc)
+            return g, d, np.ones(len(g), np.int64) if weights == "set" else times
+
+        at, held, index = None, [], None
+        us, vs = [], []
+
+        def probe(bucket, node, root, bands, grams, times, upto):
+            for k in index.links(bucket, root, bands, grams, times, similarity, upto):
+                us.append(int(index.nodes[k]))
+                vs.append(node)
+
+        def build():
+            parts = [load([h[3] for h in held[i : i + 64]]) for i in range(0, len(held), 64)]
+            docs = [d + 64 * i for i, (_, d, _) in enumerate(parts)]
+            cat = lambda xs: np.concatenate(xs)
+            flat = cat([g for g, _, _ in parts]), cat(docs), cat([t for _, _, t in parts])
+            built = _Index([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], *flat)
+            return built, flat
+
+        def end_cell():
+            """Within a cell on the diagonal, each text is compared with those before it."""
+            nonlocal index
+            if at is not None and at[1] == at[2] and len(held) > 1:
+                index, (grams, docs, times) = build()
+                ends = np.searchsorted(docs, np.arange(len(held) + 1))
+                for k in range(1, len(held)):
+                    probe(at[0], held[k][0], held[k][1], index.bands[k], grams[ends[k] : ends[k + 1]], times[ends[k] : ends[k + 1]], k)
+
+        for big in batches:
+            for start in range(0, big.num_rows, 256):
+                rows = big.slice(start, 256).to_pylist()
+                for r in rows:
+                    cell = (r["bucket"], r["a"], r["b"])
+                    if cell != at:
+                        end_cell()
+                        at, held, index = cell, [], None
+                    if not r["later"]:
+                        held.append((r["node"], r["root"], r["bands"], r["packed"]))
+                        continue
+                    if not held:
+                        continue
+                    if index is None:
+                        index, _ = build()
+                    g, _, times = load([r["packed"]])
+                    probe(cell[0], r["node"], r["root"], np.asarray(r["bands"], np.int64), g, times, len(held))
+                if us:
+                    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                    us.clear(), vs.clear()
+        end_cell()
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return verify
+
+
+def _cells(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """`(bucket, a, b, later, node, root)`: every pair of a bucket's members in different components meets in one cell.
+
+    The members outside a bucket's largest component are dealt to blocks by hash, and so are those inside it; a cell
+    is two blocks or, on the diagonal, one.  Pairs inside the largest component need none.
+    """
+    labelled = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    sizes = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all")).where("all > most.n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    several = several.select("bucket", F.col("most.root").alias("largest"), blocks(F.col("all") - F.col("most.n")).alias("outer"), blocks(F.col("most.n")).alias("inner"))
+    found = labelled.join(several, "bucket").withColumn("inside", F.col("root") == F.col("largest"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    found = found.withColumn("own", F.when(F.col("inside"), F.col("outer") + own).otherwise(own))
+    met = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1))
+    found = found.select("bucket", "node", "root", "own", F.explode(met).alias("other"))
+    return found.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("later"), "node", "root")
+
+
+def _cell_links(cells: DataFrame, signed: DataFrame, weights: str, similarity: float) -> DataFrame:
+    """The links between texts that meet in a cell."""
+    n = partitions_of(cells.sparkSession)
+    texts = signed.select(F.col("row").alias("node"), "bands", "packed")
+    rows = sized_join(texts, cells, ["node"], "inner").select("bucket", "a", "b", "later", "node", "root", "bands", "packed")
+    rows = rows.repartition(n, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "later")
+    return rows.mapInArrow(_cell_verifier(weights, similarity), "u long, v long")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: str = "set", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: `doc_id, text_key, class_id, class_size, kept`.
 
@@ -244,8 +367,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = cut(_links(tested, texts, weights, similarity))
     roots = components(links)
     pairs = cut(_untested(members.where(F.col("n") <= SMALL).select("bucket", "node"), roots, tested))
-    if not pairs.isEmpty():
-        roots = components(links.union(_links(pairs, texts, weights, similarity)))
+    cells = cut(_cells(members.where(F.col("n") > SMALL), roots))
+    more = [_links(pairs, texts, weights, similarity)] if not pairs.isEmpty() else []
+    more += [_cell_links(cells, signed, weights, similarity)] if not cells.isEmpty() else []
+    if more:
+        roots = components(reduce(DataFrame.union, more, links))
 
     found = nodes.join(roots, "node", "left").select("key1", "key2", F.coalesce("root", "node").alias("root"))
     labelled = signed.select("row", "doc_id", "text_key", "n_words", "key1", "key2").join(found, ["key1", "key2"], "left")

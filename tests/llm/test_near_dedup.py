@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+import ctxvote.llm.near_dedup as near_dedup_module
 from ctxvote.llm.near_dedup import dart_minhash, near_dedup
 from ctxvote.llm.components import components
 
@@ -58,6 +59,21 @@ def test_classes_against_brute_force(spark, seed):
     assert len(kept) == sum(1 / r.class_size for r in got) and all(r.doc_id == r.class_id for r in kept)
 
 
+def test_pairs_in_a_large_family_near_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup_module, "BLOCK", 100, raising=False)  # buckets of up to 187 members: several cells
+    rng = random.Random(11)
+    pool = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(40)]
+    rows = []
+    for i in range(400):  # all of one pool of passages, most of them below the threshold to each other
+        chosen = set(rng.sample(range(40), 34))
+        rows.append((2 * i, " ".join(pool[k] for k in sorted(chosen))))
+        if i < 150:  # one passage for another: above it
+            chosen ^= {rng.choice(sorted(chosen)), rng.choice(sorted(set(range(40)) - chosen))}
+            rows.append((2 * i + 1, " ".join(pool[k] for k in sorted(chosen))))
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id, r.class_size) for r in got), key=repr) == brute(rows)
+
+
 def test_empty_table(spark):
     assert near_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
