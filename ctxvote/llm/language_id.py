@@ -9,8 +9,9 @@ Four kinds of evidence on a page are combined in one posterior:
 - the host: a prior from the posteriors of the host's other pages, smoothed towards that of its domain, and this
   towards that of all pages.
 
-The text model is fitted to at most `FIT_ROWS` documents, chosen by a hash of their ids; cue tables and priors are
-grouped aggregations over all pages.
+The languages are those of all labelled documents.  The text model is fitted to at most `FIT_ROWS` documents of each
+language, chosen by a hash of their ids; a language with few has a smoothed model.  Cue tables and priors are grouped
+aggregations over all pages.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import cut, own_rows, sized_join
 from .html_text import host_of, main_text
 
+#: Documents of each language that the text model is fitted to.
 FIT_ROWS = 4_000
 FEATURES = 20_000
 EVIDENCE = 40
@@ -63,9 +65,18 @@ def domain_of(host: str) -> str:
 def fit_text(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[list[str], dict[str, list[float]], list[float]]:
     """(languages, log-likelihoods by trigram, those of an unknown trigram).  Rows without a language or text do not count."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")).where("lang is not null and text is not null")
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count_distinct("doc_id").alias("n")).collect()}  # one row a language
+    langs = sorted(sizes)
+    if not langs:
+        return [], {}, []
+    # A hash bound of about twice the wanted rows for each language, so that the order below meets bounded rows.
+    bound = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, (2.0 * fit_rows + 100.0) / max(sizes[k], 1))))])
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    ids = known.select("lang", "doc_id").distinct().where(F.coalesce(spread, F.lit(0.0)) < bound[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= fit_rows).select("lang", "doc_id")
     own_rows(docs, id_col, text_col)  # ships the package
-    rows = known.join(F.broadcast(chosen), "doc_id").select("text", "lang")
+    rows = known.join(F.broadcast(chosen), ["lang", "doc_id"]).select("text", "lang")  # FIT_ROWS a language
 
     def count(batches):
         for batch in batches:
@@ -76,8 +87,7 @@ def fit_text(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.int64())], ["lang", "gram", "n"])
 
     counts = cut(rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
+    totals = dict.fromkeys(langs, 0) | {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     best = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("all"), "gram").limit(FEATURES).collect()
     size = len(best) + 1
     table = {r.gram: [math.log((r.by.get(x, 0) + 0.5) / (totals[x] + 0.5 * size)) for x in langs] for r in best}

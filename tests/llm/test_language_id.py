@@ -1,4 +1,4 @@
-from ctxvote.llm.language_id import domain_of, identify, suffix_of, trigrams
+from ctxvote.llm.language_id import domain_of, fit_text, identify, suffix_of, trigrams
 
 
 def test_evidence_is_fused(spark):
@@ -20,3 +20,13 @@ def test_evidence_is_fused(spark):
 def test_parts():
     assert [suffix_of(u) for u in ("http://a.com/fr/1", "https://x.de/long", "http://a.com/de-at?x", None, "http://1.2.3.4/")] == ["fr", ".de", "de", "", ""]
     assert domain_of("www.a.co") == "a.co" and trigrams("Ab a")[" a "] == 1
+
+
+def test_a_rare_language_outlives_the_fit_bound(spark):
+    rows = [(i, "the house and the garden", "en") for i in range(300)] + [(1000 + i, "la maison et le jardin", "fr") for i in range(2)]
+    rows += [(2000, "!!", "de")]  # no trigrams: the smoothed model alone
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table, unknown = fit_text(docs, fit_rows=1)
+    assert langs == ["de", "en", "fr"] and len(unknown) == 3
+    en, fr = (table[" la"][langs.index(x)] for x in ("en", "fr"))
+    assert fr > en
