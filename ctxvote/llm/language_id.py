@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, own_rows, sized_join
+from ._shared import BROADCAST_IDS, cut, own_rows, sized_join
 from .html_text import host_of, main_text
 
 #: Documents of each language that the text model is fitted to.
@@ -33,8 +33,6 @@ FEATURES = 20_000
 EVIDENCE = 40
 #: Pseudo-counts of the smoothing of cue tables and of host and domain priors.
 CUE_WEIGHT, HOST_WEIGHT = 2.0, 5.0
-#: Distinct cues that are counted by themselves; rarer ones share the smoothed value.
-CUES = 1_000
 
 _SEGMENT = re.compile(r"^\s*(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*/([a-zA-Z]{2})(?:[-_][a-zA-Z]{2,4})?(?:[/?#]|$)")
 
@@ -109,7 +107,7 @@ def _cue_table(pages: DataFrame, cue: str, langs: list[str]) -> DataFrame:
     total = max(totals["_n"] or 0, 1)
     share = F.col("n") / F.lit(float(total))
     logs = [F.log((F.col(f"s{i}") + CUE_WEIGHT * share) / F.lit((totals[f"t{i}"] or 0.0) + CUE_WEIGHT)) for i in range(len(langs))]
-    return counts.orderBy(F.desc("n"), cue).limit(CUES).select(cue, F.array(*logs).alias(f"{cue}_log"))
+    return counts.select(cue, F.array(*logs).alias(f"{cue}_log"))
 
 
 def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lang_col: str = "lang") -> DataFrame:
@@ -149,7 +147,9 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     weighed = cut(weighed.withColumn("p", _softmax(F.col("ll"))))
     n = len(langs)
     for cue in ("declared", "suffix"):
-        weighed = weighed.join(F.broadcast(_cue_table(weighed.select(cue, "p"), cue, langs)), cue, "left")  # CUES rows at most
+        known_cues = cut(_cue_table(weighed.select(cue, "p"), cue, langs))
+        small = known_cues.count() * n <= BROADCAST_IDS  # numbers
+        weighed = weighed.join(F.broadcast(known_cues) if small else known_cues, cue, "left")
     sums = lambda name: F.array(*[F.sum(F.col("p")[i]) for i in range(n)]).alias(name)
     all_pages = weighed.agg(sums("s"), F.count(F.lit(1)).alias("n")).first()
     world = [(x or 0.0) / max(all_pages.n, 1) for x in all_pages.s]

@@ -1,4 +1,4 @@
-from ctxvote.llm.language_id import domain_of, fit_text, identify, suffix_of, trigrams
+from ctxvote.llm.language_id import _cue_table, domain_of, fit_text, identify, suffix_of, trigrams
 
 
 def test_evidence_is_fused(spark):
@@ -30,3 +30,10 @@ def test_a_rare_language_outlives_the_fit_bound(spark):
     assert langs == ["de", "en", "fr"] and len(unknown) == 3
     en, fr = (table[" la"][langs.index(x)] for x in ("en", "fr"))
     assert fr > en
+
+
+def test_rare_cues_keep_their_evidence(spark):
+    rows = [(f"c{i}", [0.0, 1.0] if i == 1199 else [1.0, 0.0]) for i in range(1200) for _ in range(1 + (i < 1100))]
+    got = {r.suffix: r.suffix_log for r in _cue_table(spark.createDataFrame(rows, "suffix string, p array<double>"), "suffix", ["en", "fr"]).collect()}
+    assert len(got) == 1200
+    assert got["c1199"][1] > got["c1199"][0] and got["c1198"][0] > got["c1198"][1]
