@@ -1,7 +1,7 @@
-"""Exact dedup by a tree-merge of sorted digest runs, in DataFrame operations only.
+"""Exact dedup by a tree of grouped aggregations over salted digest runs, in DataFrame operations only.
 
 Each document's digest goes to one of `RUNS` runs, chosen by a hash of its id, so that a digest shared by a third
-of the corpus is spread over all runs.  A run is sorted by digest and reduced to one entry per digest that holds
+of the corpus is spread over all runs.  A run is aggregated by digest, not sorted, to one entry per digest that holds
 the surviving identifier and the number of rows; then `FAN` neighbouring runs merge at a time, level by level,
 until one run is left.  At every level partial aggregation shrinks the entries before they are exchanged, and a
 digest has at most `FAN` entries per partition to merge.  The winners go back down the same tree.
