@@ -1,118 +1,262 @@
-"""Token ids of whole texts by the `tokenizers` library, with a bounded cache of encoded pieces.
+"""Token ids of whole texts by the `tokenizers` library, with a bounded cache of encoded units.
 
-The byte-level pre-tokenizer never joins a word to a following space, so a text may be cut before each space that
-stands between two non-space characters and the pieces encoded one by one: the ids are those of the whole text.
-Pieces repeat a great deal, so each worker keeps the ids of those it met last.  Texts with other kinds of
-spacing at a cut (a space before more white space, or at the end) are encoded whole.
+A byte-level BPE encodes the units of its pre-tokenizer apart.  A run of texts is cut into units at once by byte classes;
+the distinct units of the run are looked up in a cache, the library encodes those that are missing, and the ids of the
+texts are gathered.  Where a text holds characters that are not classed here (white space other than spaces and
+line feeds, control characters, rare or new ones), everything up to the next safe cuts is one unit that the library
+splits itself.  A cut is safe before a space between two visible characters that are classed.  Vocabularies with other
+pre-tokenizers get whole texts.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
-#: A space that does not stand directly before a non-space character: no cut is safe there.
-_UNSAFE = re.compile(r" (?=\s|\Z)")
-#: Pieces kept by a worker, in each of two generations.
-CACHE_PIECES = 80_000
+#: Units kept by a worker (about 180 bytes each, longer ones are not kept); the least recently used half goes.
+CACHE_UNITS, CACHE_LONGEST = 400_000, 64
+#: Bytes of text that are cut into units at once.
+RUN_BYTES = 1 << 21
 
+_ODD, _LETTER, _NUMBER, _MARK, _SPACE, _FEED = range(6)
 
-def tokenizer_json(path: str | None = None) -> str:
-    """The vocabulary file as text; by default that of the public byte-level BPE."""
-    if path is None:
-        import public_tokenizers
 
-        path = public_tokenizers.path("byte_bpe_50k.json")
-    with open(path, encoding="utf-8") as f:
-        return f.read()
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of each code point below 65,536; characters whose class changed over time are odd."""
+    out = np.zeros(1 << 16, np.uint8)
+    for code in range(1 << 16):
+        c = chr(code)
+        now, then = unicodedata.category(c), unicodedata.ucd_3_2_0.category(c)
+        if now[0] in "LN" and then[0] == now[0]:
+            out[code] = _LETTER if now[0] == "L" else _NUMBER
+        elif now[0] in "MPS" and then[0] in "MPS":
+            out[code] = _MARK
+    out[0x20], out[0x0A] = _SPACE, _FEED
+    return out
+
+
+def byte_classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of the character that each byte belongs to, whether a byte begins one)."""
+    table = _classes()
+    out = table[:256][data]
+    out[data >= 0x80] = _ODD
+    begins = (data & 0xC0) != 0x80
+    two = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] < 0xE0)) if len(data) else np.zeros(0, np.int64)
+    if len(two):
+        c = table[((data[two] & 0x1F).astype(np.int64) << 6) | (data[two + 1] & 0x3F)]
+        out[two], out[two + 1] = c, c
+    three = np.flatnonzero((data[:-2] >= 0xE0) & (data[:-2] < 0xF0)) if len(data) > 1 else np.zeros(0, np.int64)
+    if len(three):
+        c = table[((data[three] & 0x0F).astype(np.int64) << 12) | ((data[three + 1] & 0x3F).astype(np.int64) << 6) | (data[three + 2] & 0x3F)]
+        out[three], out[three + 1], out[three + 2] = c, c, c
+    return out, begins
+
+
+def unit_starts(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the units of texts that stand one after another, whether each unit is a space and visible characters).
+
+    `doc_starts` ascend; a text may be empty.
+    """
+    n = len(data)
+    kind, begins = byte_classes(data)
+    first = np.zeros(n + 1, bool)
+    first[doc_starts[doc_starts < n]] = True
+    first[n] = True
+    before = np.empty(n, np.uint8)  # the class before each byte, _ODD + 100 where a text begins
+    before[:1] = 100
+    before[1:] = kind[:-1]
+    before[first[:n]] = 100
+    after = np.empty(n, np.uint8)
+    after[-1:] = 100
+    after[:-1] = kind[1:]
+    after[first[1:]] = 100
+    visible = (kind >= _LETTER) & (kind <= _MARK)
+    seen_after = (after >= _LETTER) & (after <= _MARK)
+    seen_before = (before >= _LETTER) & (before <= _MARK)
+    start = visible & begins & (before != kind) & (before != _SPACE)
+    blank = (kind == _SPACE) | (kind == _FEED)
+    blank_before = (before == _SPACE) | (before == _FEED)
+    # White space: its run begins a unit; so does its last character if something visible follows.
+    start |= blank & (~blank_before | seen_after)
+    # A mark ' that begins a unit takes s, t, m, d, re, ve or ll with it.
+    marks = np.flatnonzero(start & (data == 0x27) & (after == _LETTER))
+    if len(marks):
+        padded = np.concatenate([data, np.zeros(2, np.uint8)])
+        a, b = padded[marks + 1], padded[marks + 2]
+        one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = (((a == 0x72) | (a == 0x76)) & (b == 0x65) | (a == 0x6C) & (b == 0x6C)) & ~first[np.minimum(marks + 2, n)]
+        taken = marks[one | two]
+        end = taken + np.where(one[one | two], 2, 3)
+        start[taken + 1] = False
+        end = end[end < n]
+        start[end[kind[end] == _LETTER]] = True
+    start |= first[:n]
+    safe = (kind == _SPACE) & seen_before & seen_after  # a cut here parts units, whatever stands elsewhere
+    odd = kind == _ODD
+    if odd.any():
+        zone = np.cumsum(safe | first[:n])
+        spoilt = np.zeros(zone[-1] + 1, bool)
+        spoilt[zone[odd]] = True
+        start &= ~spoilt[zone] | safe | first[:n]
+    at = np.flatnonzero(start)
+    plain = (kind[at] == _SPACE) & seen_after[at]
+    if odd.any():
+        plain &= ~spoilt[zone[at]]
+    return at, plain
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, cache_units: int = CACHE_UNITS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.by_piece = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(") and self.tokenizer.normalizer is None
+        shown = str(self.tokenizer.pre_tokenizer)
+        self.by_unit = shown.startswith("ByteLevel(") and "add_prefix_space=False" in shown and "use_regex=True" in shown and self.tokenizer.normalizer is None
         self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each token: its characters stand for them
         for token, number in self.tokenizer.get_vocab().items():
             self.size[number] = len(token)
-        #: The ids of a piece with the space before it, by the piece alone.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache_units = cache_units
+        self.number: dict[bytes, int] = {}  # of a unit in the cache, in the order of its arrays
+        self.pool, self.at, self.used, self.now = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32), 0
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _encode_spaced(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces with a space before each, encoded in one run and parted by the bytes of the tokens."""
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 4000):
-            some = pieces[at : at + 4000]
-            ids = np.frombuffer(self.whole(" " + " ".join(some)), "<u4")
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) + 1 for p in some])) + 1
-            raw = ids.tobytes()
-            ends = (4 * ends).tolist()
-            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        return out
-
-    def _fill(self, pieces: dict[str, None]) -> None:
-        """Bring pieces into the cache.  A word and a comma or full stop after it are encoded apart, as in any text."""
-        young, old = self.young, self.old
-        missing: dict[str, None] = {}
-        tailed: list[str] = []
-        for p in pieces:
-            if p in old:
-                young[p] = old[p]
-            elif p[-1] in ",." and p[:-1].isalpha() and max(p) < "ɐ":
-                tailed.append(p)
-                word = p[:-1]
-                if word not in young:
-                    if word in old:
-                        young[word] = old[word]
-                    else:
-                        missing[word] = None
-            else:
-                missing[p] = None
-        todo = list(missing)
-        young.update(zip(todo, self._encode_spaced(todo), strict=True))
-        marks = {m: self.whole(m) for m in ",."} if tailed else {}
-        for p in tailed:
-            young[p] = young[p[:-1]] + marks[p[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        get = self.young.get
-        out: list[bytes | None] = [None] * len(texts)
-        waiting: list[tuple[int, bytes, list[str], list[bytes | None]]] = []
-        missing: dict[str, None] = {}
-        for i, t in enumerate(texts):
-            if not self.by_piece or _UNSAFE.search(t):
-                out[i] = self.whole(t)
-                continue
-            first, _, rest = t.partition(" ")
-            head = self.whole(first) if first else b""
-            pieces = rest.split(" ") if _ else []
-            ids = list(map(get, pieces))
-            if None in ids:
-                missing.update((p, None) for p, x in zip(pieces, ids, strict=True) if x is None)
-                waiting.append((i, head, pieces, ids))
-            else:
-                out[i] = head + b"".join(ids)
-        if missing:
-            self._fill(missing)
-        for i, head, pieces, ids in waiting:
-            out[i] = head + b"".join([get(p) if x is None else x for p, x in zip(pieces, ids, strict=True)])
-        return out  # type: ignore[return-value]
+    def _encode_spaced(self, units: pa.LargeBinaryArray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of units that begin with a space, encoded in long runs and parted by the bytes of the tokens."""
+        ids, counts = [], []
+        ends = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1]
+        data = memoryview(units.buffers()[2] or b"")
+        for at in range(0, len(units), 4000):
+            own = ends[at : at + 4001]
+            found = np.asarray(self.tokenizer.encode_batch_fast([str(data[own[0] : own[-1]], "utf-8")], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.searchsorted(np.cumsum(self.size[found]), own[1:] - own[0]) + 1
+            ids.append(found)
+            counts.append(np.diff(last, prepend=0))
+        return ids, counts
+
+    def _encode_missing(self, units: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of units in their order."""
+        order = np.argsort(~plain, kind="stable")
+        n_plain = int(plain.sum())
+        ids, counts = self._encode_spaced(units.take(pa.array(order[:n_plain])))
+        others = [x.decode("utf-8", "replace") for x in units.take(pa.array(order[n_plain:])).to_pylist()]
+        for i in range(0, len(others), 4000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(others[i : i + 4000], add_special_tokens=False)]
+            ids += [np.asarray(x, np.uint32) for x in found]
+            counts.append(np.asarray([len(x) for x in found], np.int64))
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        lens = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        ends = np.cumsum(lens)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return _gather(flat, (ends - lens)[back], lens[back])
+
+    def _lookup(self, units: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool of ids, start, length) of each distinct unit."""
+        self.now += 1
+        ends = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1].tolist()
+        data = units.buffers()[2].to_pybytes()
+        names = [data[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905, RUF007
+        found = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        hit = found >= 0
+        self.used[found[hit]] = self.now
+        miss = np.flatnonzero(~hit)
+        ids, ends = self._encode_missing(units.take(pa.array(miss)), plain[miss])
+        starts, lens = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        starts[hit], lens[hit] = self.at[found[hit]], self.at[found[hit] + 1] - self.at[found[hit]]
+        lens[miss] = np.diff(ends, prepend=0)
+        starts[miss] = len(self.pool) + ends - lens[miss]
+        pool = np.concatenate([self.pool, ids])
+        kept = [k for k in miss.tolist() if len(names[k]) <= CACHE_LONGEST]
+        kept_ids, kept_ends = _gather(pool, starts[kept], lens[kept])
+        self.number.update(zip([names[k] for k in kept], range(len(self.used), len(self.used) + len(kept)), strict=True))
+        self.pool, self.at = np.concatenate([self.pool, kept_ids]), np.concatenate([self.at, self.at[-1] + kept_ends])
+        self.used = np.concatenate([self.used, np.full(len(kept), self.now, np.int32)])
+        if len(self.used) > self.cache_units:
+            stay = np.sort(np.argsort(-self.used, kind="stable")[: self.cache_units // 2])
+            names = list(self.number)  # in the order of their numbers
+            self.number = {names[k]: i for i, k in enumerate(stay.tolist())}
+            self.used = self.used[stay]
+            self.pool, ends = _gather(self.pool, self.at[stay], np.diff(self.at)[stay])
+            self.at = np.append(0, ends)
+        return pool, starts, lens
+
+    def _encode_run(self, data: bytes, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts that stand one after another, how many come before each text)."""
+        raw = np.frombuffer(data, np.uint8)
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(doc_starts), np.int64)
+        at, plain = unit_starts(raw, doc_starts)
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(np.int64)), pa.py_buffer(data)])
+        coded = units.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        is_plain = np.zeros(len(coded.dictionary), bool)
+        is_plain[codes[plain]] = True
+        is_plain[codes[~plain]] = False  # a unit of both kinds is encoded by itself
+        pool, starts, lens = self._lookup(coded.dictionary, is_plain)
+        ids, ends = _gather(pool, starts[codes], lens[codes])
+        return ids, np.append(0, ends)[np.searchsorted(at, doc_starts)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text (UTF-8)."""
+        if not self.by_unit:
+            return [self.whole(bytes(t).decode("utf-8", "replace")) for t in texts]
+        parts: list[bytes] = []
+        of: list[int] = []
+        for k, text in enumerate(texts):
+            for part in safe_parts(bytes(text), RUN_BYTES):
+                parts.append(part)
+                of.append(k)
+        out: list[list[bytes]] = [[] for _ in texts]
+        first = 0
+        while first < len(parts):
+            last, held = first, 0
+            while last < len(parts) and (last == first or held + len(parts[last]) <= RUN_BYTES):
+                held += len(parts[last])
+                last += 1
+            sizes = np.asarray([len(p) for p in parts[first:last]], np.int64)
+            ids, starts = self._encode_run(b"".join(parts[first:last]), np.cumsum(sizes) - sizes)
+            ends = np.append(starts[1:], len(ids))
+            flat = ids.astype("<u4").tobytes()
+            for k, a, b in zip(of[first:last], (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+                out[k].append(flat[a:b])
+            first = last
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+
+def safe_parts(text: bytes, limit: int) -> Iterator[bytes]:
+    """A text cut at spaces between ASCII letters or digits, into parts of about `limit` bytes where it has such."""
+    start = 0
+    while len(text) - start > limit:
+        cut = text.find(b" ", start + limit)
+        while cut >= 0 and not (cut + 1 < len(text) and text[cut - 1 : cut].isalnum() and text[cut + 1 : cut + 2].isalnum()):
+            cut = text.find(b" ", cut + 1)
+        if cut < 0:
+            break
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the parts of `pool` one after another, their ends)."""
+    ends = np.cumsum(lens)
+    if not len(ends) or not ends[-1]:
+        return np.zeros(0, pool.dtype), ends
+    return pool[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])], ends
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -126,16 +270,29 @@ def encoder(vocabulary: str) -> Encoder:
     return _ENCODERS[key]
 
 
+@lru_cache(maxsize=1)
+def _default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def tokenizer_json(path: str | None = None) -> str:
+    """The vocabulary file as text; by default that of the public byte-level BPE."""
+    with open(path or _default_path(), encoding="utf-8") as f:
+        return f.read()
+
+
 def encoded_rows(spark: SparkSession, path: str | None, end_id: int) -> Callable[[Iterator], Iterator[tuple]]:
     """A function for workers: Arrow batches with `text` to (batch, ids of each row with `end_id` after them)."""
     vocabulary = spark.sparkContext.broadcast(tokenizer_json(path))  # the size of a vocabulary file
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator) -> Iterator[tuple]:
-        from ctxvote.llm._shared import text_runs
+        from ctxvote.llm._shared import byte_slices, text_runs
 
         enc = encoder(vocabulary.value)
-        for batch in text_runs(batches, 1 << 20, encoders=True):
-            yield batch, [x + end for x in enc.encode(batch.column("text").to_pylist())]
+        for batch in text_runs(batches, RUN_BYTES, encoders=True):
+            yield batch, [x + end for x in enc.encode([bytes(t) for t in byte_slices(batch.column("text"))])]
 
     return run

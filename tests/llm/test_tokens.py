@@ -1,18 +1,48 @@
 import random
 
 import numpy as np
+import pytest
 
+from ctxvote.llm import tokens
 from ctxvote.llm.tokens import Encoder, tokenizer_json
 
+PARTS = ["word", "Wörter", "don't", "it's", "'s", "'ll", "'Re", "'", "x,", "y.", "12", "3.5", "a1b2", "\n", "\n\n", " ", "  ", "\t", "\xa0", "\u2003", "\x1c", "\x85", "!!", "***", "É", "中文", "ʰ", "٣", "²", "_", "a_b", "×", "<|endoftext|>", "😀", "\r\n", "ǅ", "-", "(", "\u0301", "\u180e", "\u0870", "\x00"]
+MARKS = [c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()] + ["«", "»", "—", "“", "”", "…", "¿", "¡", "\n"]
 
-def test_pieces_give_the_ids_of_whole_texts():
-    enc = Encoder(tokenizer_json())
-    assert enc.by_piece
-    rng = random.Random(4)
-    parts = ["word", "Wörter", "don't", "it's", "'s", "x,", "y.", "12", "3.5", "a1b2", "\n", "\n\n", " ", "  ", "\t", "\xa0", " ", "\x1c", "\x85", "!!", "***", "É", "中文", "ʰ", "٣", "²", "_", "a_b", "×", "<|endoftext|>", "😀", "\r\n", "ǅ", "-", "("]
-    texts = ["", " ", "a", " a", "a ", "a \nb", "a\n b", "a\n\n b", "\n", "foo.\nBar x", "a  b", "<|endoftext|> x"]
-    texts += ["".join(rng.choice(parts) + rng.choice(["", " ", " ", ""]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+
+def check(enc, texts):
     expected = [np.asarray(x.ids, "<u4").tobytes() for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert enc.encode(texts) == expected
-    assert enc.encode(texts[::-1]) == expected[::-1]
+    raw = [t.encode() for t in texts]
+    assert enc.encode(raw) == expected
+    assert enc.encode(raw[::-1]) == expected[::-1]
     assert not any(np.frombuffer(x, "<u4").max(initial=0) == 50256 for x in expected)
+
+
+@pytest.mark.parametrize("cache", [50, 100_000])
+def test_units_give_the_ids_of_whole_texts(cache):
+    enc = Encoder(tokenizer_json(), cache)
+    assert enc.by_unit
+    rng = random.Random(4)
+    texts = ["", " ", "a", " a", "a ", "a \nb", "a\n b", "a\n\n b", "\n", "foo.\nBar x", "a  b", "<|endoftext|> x", "'s't'", "x''s", "'", "a'", "a's", "'sx 'rex 'llx"]
+    texts += ["".join(rng.choice(PARTS) + rng.choice(["", " ", " ", ""]) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
+    check(enc, texts)
+
+
+def test_every_leading_and_trailing_mark():
+    texts = [f"a {m}word{n} b{m} {n}c" for m in MARKS for n in MARKS] + [f"{m}{n}word {m}" for m in MARKS for n in MARKS]
+    check(Encoder(tokenizer_json()), texts)
+
+
+def test_long_texts_are_cut_at_safe_places(monkeypatch):
+    monkeypatch.setattr(tokens, "RUN_BYTES", 60)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(PARTS) + rng.choice(["", " ", " ", ""]) for _ in range(rng.randint(1, 200))) for _ in range(100)]
+    check(Encoder(tokenizer_json(), 300), texts + ["x" * 1000, " " * 500, "é " * 300])
+
+
+def test_other_pre_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    enc = Encoder(tokenizer_json(public_tokenizers.path("word_bpe_49k.json")))
+    assert not enc.by_unit
+    assert enc.encode([b"Some  words, here"]) == [enc.whole("Some  words, here")]
