@@ -55,13 +55,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.temporary_store(spark)
-    token_store.write_store(_table(spark, sf_dir, "documents"), path, end_id=0)
-    return token_store.read_digests(spark, path)
+    top_root = token_store.write_store(_table(spark, sf_dir, "documents"), path, end_id=0)
+    return token_store.read_digests(spark, path, top_root)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_text.extract_text(_table(spark, sf_dir, "pages"))
-    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template_subtrees")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

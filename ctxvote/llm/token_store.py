@@ -7,13 +7,14 @@ holds the Merkle root of each recipe part, and one root over those.
 
 Layout under the store's folder (Parquet):
     chunks/    digest, ids (2 or 4 bytes an id, little-endian), width, n_ids
-    recipes/   part, doc_id, start, n_tokens, digests (32 bytes a chunk), lengths (4 bytes a chunk), root
-               -- rows in ascending doc_id order, parts in ascending order
+    recipes/   part, doc_id, inside, n_tokens, digests (32 bytes a chunk), lengths (4 bytes a chunk), root
+               -- rows in ascending doc_id order, parts in ascending order; `inside`: the ids before it in its part
     manifest/  part, n_docs, n_tokens, root
 
-Reading checks every chunk against its digest and every recipe against its Merkle root.  The CRC-32 of a document
-comes from those of its chunks as read: a chunk's CRC is moved over the bytes behind it (a multiplication by a
-power of x modulo the CRC polynomial), and the moved values add up by exclusive or.
+Reading checks every chunk against its digest, every recipe against its Merkle root, and the recipes of every part
+against the manifest, whose leaves cover ids, places and lengths too.  The CRC-32 of a document comes from those of
+its chunks as read: a chunk's CRC is moved over the bytes behind it (a multiplication by a power of x modulo the CRC
+polynomial), and the moved values add up by exclusive or.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ship import ensure_package
-from ._shared import checkpoint_dir, own_rows, partitions_of
+from ._shared import checkpoint_dir, cut, own_rows, partitions_of, sized_join
 from .tokens import encoded_rows
 
 #: A chunk ends where this many low bits of the rolling hash are zero: 512 ids on average, at most `LONGEST`.
@@ -37,6 +38,10 @@ ROLL = 16
 LONGEST = 8192
 #: Digests that a writing task remembers, so that a hot chunk leaves it once.
 REMEMBERED = 200_000
+#: Bytes of text to a bucket of chunks and to a part of recipes on average.
+PART_BYTES = 256 << 20
+#: Chunks with this many places are joined apart.
+HOT_PLACES = 100_000
 
 _CRC_POLY = 0xEDB88320
 
@@ -123,17 +128,20 @@ def temporary_store(spark: SparkSession) -> str:
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every row's whole text, append `end_id`, and write the store at `path`; returns the top Merkle root (hex).
 
-    Null and empty texts are `end_id` alone; rows without an id come first; rows that repeat an id stand in the
-    order of their contents; an empty table gives a store without recipes; other columns are not read.
+    Null and empty texts are `end_id` alone; a very long text is many chunks and one recipe; rows without an id come
+    first; rows that repeat an id stand in the order of their contents; an empty table gives a store without recipes;
+    other columns are not read.
     """
     spark = docs.sparkSession
     run = encoded_rows(spark, tokenizer, end_id)
-    n = partitions_of(spark)
+    own = own_rows(docs, id_col, text_col)
+    n_bytes = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(partitions_of(spark), -(-n_bytes // PART_BYTES))  # buckets of chunks, and parts of recipes, follow the bytes
 
     def encode(batches):
         import zstandard
 
-        z, seen = zstandard.ZstdCompressor(level=3), set()
+        z, sent = zstandard.ZstdCompressor(level=3), set()
         for batch, texts in run(batches):
             packs: dict[int, list] = {}
             raw = b"".join(texts)
@@ -145,13 +153,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             digests = [hashlib.sha256(raw[4 * a : 4 * b]).digest() for a, b in zip([0, *places], places, strict=False)]
             start = 0
             for digest, end in zip(digests, places, strict=True):
-                if digest not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(digest)
+                if digest not in sent:
+                    if len(sent) >= REMEMBERED:
+                        sent.clear()
+                    sent.add(digest)
                     piece = ids[start:end]
                     piece = piece.astype("<u2") if piece.max() < 1 << 16 else piece
-                    packs.setdefault(int.from_bytes(digest[:4], "big") % n, []).append((digest, piece.itemsize, piece.tobytes()))
+                    packs.setdefault(int.from_bytes(digest[:8], "big") % n, []).append((digest, piece.itemsize, piece.tobytes()))
                 start = end
             rows, first = [], 0
             for doc_id, last, x in zip(batch.column("doc_id").to_pylist(), np.searchsorted(ends, doc_ends, "right").tolist(), texts, strict=True):
@@ -166,17 +174,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "doc_id", "n_tokens", "digests", "lengths", "root", "pack"])
 
     def unique(batches):
-        """Chunks of a bucket once each, recipes as they are."""
+        """Chunks of a bucket once each, recipes as they are; rows come by bucket, so that only a bucket's digests are held."""
         import zstandard
 
-        z, seen = zstandard.ZstdDecompressor(), set()
+        z, at_bucket, seen = zstandard.ZstdDecompressor(), None, set()
         for batch in batches:
             recipes = batch.filter(pa.compute.is_null(batch.column("pack")))
             if recipes.num_rows:
                 none = [pa.nulls(recipes.num_rows, t) for t in (pa.binary(), pa.binary(), pa.int32(), pa.int32())]
                 kind = pa.array(["recipe"] * recipes.num_rows)
                 yield pa.RecordBatch.from_arrays([kind, *[recipes.column(c) for c in ("doc_id", "n_tokens", "digests", "lengths", "root")], *none], _STAGED)
-            for packed in batch.column("pack").drop_null():
+            packs = batch.filter(pa.compute.is_valid(batch.column("pack")))
+            for bucket, packed in zip(packs.column("bucket").to_pylist(), packs.column("pack"), strict=True):
+                if bucket != at_bucket:
+                    at_bucket, seen = bucket, set()
                 pack = z.decompress(packed.as_py())
                 count = int(np.frombuffer(pack, "<u4", 1)[0])
                 at, rows = 4 + 40 * count, []
@@ -189,41 +200,41 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
                     at += size
                 if rows:
                     none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
-                    own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * len(rows)), *none, *own], _STAGED)
+                    made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * len(rows)), *none, *made], _STAGED)
 
-    rows = own_rows(docs, id_col, text_col).mapInArrow(encode, "bucket long, doc_id long, n_tokens long, digests binary, lengths binary, root binary, pack binary")
-    staged = rows.repartition(n, "bucket").mapInArrow(unique, "kind string, doc_id long, n_tokens long, digests binary, lengths binary, root binary, digest binary, ids binary, width int, n_ids int")
+    rows = own.mapInArrow(encode, "bucket long, doc_id long, n_tokens long, digests binary, lengths binary, root binary, pack binary")
+    staged = rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+    staged = staged.mapInArrow(unique, "kind string, doc_id long, n_tokens long, digests binary, lengths binary, root binary, digest binary, ids binary, width int, n_ids int")
     staged.write.partitionBy("kind").parquet(f"{path}/staged")
     _order_recipes(spark, path, n)
-    manifest = _manifest(spark.read.schema(_RECIPE).parquet(f"{path}/recipes"))
+    manifest = _manifest(_recipes(spark, path))
     manifest.write.parquet(f"{path}/manifest")
-    parts = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").orderBy("part").collect()  # one row a part
-    return merkle_root([bytes(r.root) for r in parts]).hex()
+    return _top_root(_stored_manifest(spark, path))
 
 
 _STAGED = ["kind", "doc_id", "n_tokens", "digests", "lengths", "root", "digest", "ids", "width", "n_ids"]
 _STAGED_RECIPE = "doc_id long, n_tokens long, digests binary, lengths binary, root binary"
 _CHUNK = "digest binary, ids binary, width int, n_ids int"
-_RECIPE = "part int, doc_id long, start long, n_tokens long, digests binary, lengths binary, root binary"
+_RECIPE = "part int, doc_id long, inside long, n_tokens long, digests binary, lengths binary, root binary"
 _MANIFEST = "part int, n_docs long, n_tokens long, root binary"
 
 
 def _order_recipes(spark: SparkSession, path: str, n: int) -> None:
-    """Write the recipes in ascending doc_id order, each with the number of ids before it."""
+    """Write the recipes in ascending doc_id order, each with the number of ids before it in its part."""
     staged = spark.read.schema(_STAGED_RECIPE).parquet(f"{path}/staged/kind=recipe") if _exists(spark, f"{path}/staged/kind=recipe") else spark.createDataFrame([], _STAGED_RECIPE)
     order = [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("digests")]
-    ranged = staged.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranged = ranged.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "*")
-    ranged.write.parquet(f"{path}/ranged")  # the borders of the ranges are fixed here
-    stored = spark.read.schema(f"part int, place long, {_STAGED_RECIPE}").parquet(f"{path}/ranged")
-    totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("here"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("part", F.coalesce(F.sum("here").over(ahead), F.lit(0)).alias("before"))
-    within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(totals, "part")
-    out = starts.select("part", "place", "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "digests", "lengths", "root")
-    out.sortWithinPartitions("part", "place").drop("place").write.parquet(f"{path}/recipes")
+    ranged = staged.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "*")
+
+    def place(batches):
+        inside = 0
+        for batch in batches:
+            sizes = np.asarray(batch.column("n_tokens")).astype(np.int64)
+            ends = inside + np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array(ends - sizes), *[batch.column(c) for c in ("n_tokens", "digests", "lengths", "root")]], ["part", "doc_id", "inside", "n_tokens", "digests", "lengths", "root"])
+            inside = int(ends[-1]) if len(ends) else inside
+
+    ranged.mapInArrow(place, _RECIPE).write.parquet(f"{path}/recipes")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -231,17 +242,102 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+class _Fold:
+    """The Merkle root of leaves that come one after another: at most one waiting node for each height."""
+
+    def __init__(self) -> None:
+        self.waiting: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height = 0
+        while self.waiting and self.waiting[-1][0] == height:
+            leaf = hashlib.sha256(self.waiting.pop()[1] + leaf).digest()
+            height += 1
+        self.waiting.append((height, leaf))
+
+    def root(self) -> bytes:
+        """As `merkle_root`: an odd node goes up as it is."""
+        if not self.waiting:
+            return hashlib.sha256(b"").digest()
+        out = self.waiting[-1][1]
+        for _, node in reversed(self.waiting[:-1]):
+            out = hashlib.sha256(node + out).digest()
+        return out
+
+
 def _manifest(recipes: DataFrame) -> DataFrame:
-    """The Merkle root over the recipes' roots, part by part."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"])
-    parts = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), ordered.alias("roots"))
+    """One row per part: counts and the Merkle root over its recipes, folded in their order.
+
+    A recipe's leaf covers its id, place, lengths and its own root.
+    """
+
+    def fold(batches):
+        part, n_docs, n_tokens, state = None, 0, 0, _Fold()
+        for batch in batches:
+            done = []
+            for p, doc_id, inside, size, lengths, root in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "inside", "n_tokens", "lengths", "root")), strict=True):
+                if p != part:
+                    if part is not None:
+                        done.append((part, n_docs, n_tokens, state.root()))
+                    part, n_docs, n_tokens, state = p, 0, 0, _Fold()
+                if inside != n_tokens:
+                    raise ValueError(f"a recipe is missing before place {inside} of part {p}")
+                state.add(hashlib.sha256(f"{doc_id} {inside} {size} ".encode() + lengths + root).digest())
+                n_docs, n_tokens = n_docs + 1, n_tokens + size
+            yield _manifest_rows(done)
+        yield _manifest_rows([] if part is None else [(part, n_docs, n_tokens, state.root())])
+
+    rows = recipes.select("part", "doc_id", "inside", "n_tokens", "lengths", "root")
+    return rows.repartition(partitions_of(recipes.sparkSession), "part").sortWithinPartitions("part", "inside").mapInArrow(fold, _MANIFEST)
+
+
+def _manifest_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "n_docs", "n_tokens", "root"])
 
-    def root(batches):
+
+def _top_root(manifest: DataFrame) -> str:
+    """The Merkle root (hex) over the roots of the parts, folded in their order by one task."""
+
+    def fold(batches):
+        state = _Fold()
         for batch in batches:
-            roots = pa.array([merkle_root(x) for x in batch.column("roots").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("n_docs"), batch.column("n_tokens"), roots], ["part", "n_docs", "n_tokens", "root"])
+            for root in batch.column("root").to_pylist():
+                state.add(root)
+        yield pa.RecordBatch.from_arrays([pa.array([state.root()], pa.binary())], ["root"])
+
+    roots = manifest.select("part", "root").repartition(1).sortWithinPartitions("part").mapInArrow(fold, "root binary")
+    found = roots.first()  # none where no task ran, for lack of parts
+    return (bytes(found[0]) if found else merkle_root([])).hex()
+
+
+def verify_manifest(spark: SparkSession, path: str, top_root: str | None = None) -> None:
+    """Fold the recipes as read and hold the parts against the stored manifest, and this against `top_root`."""
+    ensure_package(spark)
+    stored = _stored_manifest(spark, path)
+    found = _manifest(_recipes(spark, path))
+    key = F.struct("n_docs", "n_tokens", "root")
+    both = stored.select("part", key.alias("a")).join(found.select("part", key.alias("b")), "part", "full")
+    wrong = both.where(~F.col("a").eqNullSafe(F.col("b"))).select("part").first()
+    if wrong is not None:
+        raise ValueError(f"the recipes of part {wrong[0]} do not fit the manifest")
+    if top_root is not None and _top_root(stored) != top_root:
+        raise ValueError("the manifest does not fit the top root")
+
+
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
 
-    return parts.mapInArrow(root, _MANIFEST)
+
+def _stored_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes with `start`: the ids of all documents before."""
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part of `PART_BYTES`
+    bases = _stored_manifest(spark, path).select("part", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("base"))
+    return sized_join(_recipes(spark, path), cut(bases), ["part"], "inner").withColumn("start", F.col("base") + F.col("inside"))
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -276,8 +372,18 @@ def _wide(ids: bytes, width: int) -> bytes:
     return np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
 
 
-def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the store, from its files: `doc_id, start, n_tokens, ids_crc32`, after all checks."""
+def _hot_digests(recipes: DataFrame) -> DataFrame:
+    """`(digest)` of chunks that stand in very many places: too many for one task of a join."""
+    each = F.transform(F.sequence(F.lit(0), (F.octet_length("digests") / 32).cast("int") - 1), lambda k: F.substring(F.col("digests"), 32 * k + 1, F.lit(32)))
+    counts = recipes.select(F.explode(each).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") >= HOT_PLACES).select("digest")
+
+
+def read_digests(spark: SparkSession, path: str, top_root: str | None = None) -> DataFrame:
+    """Per document of the store, from its files: `doc_id, start, n_tokens, ids_crc32`, after all checks.
+
+    Parts are held against the manifest (and this against `top_root`), recipes and chunks against their digests.
+    """
 
     def check(batches):
         for batch in batches:
@@ -296,17 +402,26 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "crc"])
 
     ensure_package(spark)
-    sums = _chunks(spark, path).mapInArrow(check, "digest binary, crc long")
-    entries = _entries(spark.read.schema(_RECIPE).parquet(f"{path}/recipes"))
-    moved = entries.join(sums, "digest", "left").select("doc_id", "start", "n_tokens", "tail", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc"))
+    verify_manifest(spark, path, top_root)
+    sums = cut(_chunks(spark, path).mapInArrow(check, "digest binary, crc long"))
+    recipes = _placed(spark, path)
+    entries = _entries(recipes)
+    hot = cut(_hot_digests(recipes))
+    missing = F.raise_error(F.lit("a chunk is missing")).cast("long")
+    columns = ["doc_id", "start", "n_tokens", "tail", F.coalesce("crc", missing).alias("crc")]
+    moved = sized_join(entries, hot, ["digest"], "left_anti").join(sums, "digest", "left").select(*columns)
+    if not hot.isEmpty():
+        moved = moved.union(sized_join(entries, cut(sums.join(hot, "digest")), ["digest"], "inner").select(*columns))
     moved = moved.mapInArrow(move, "doc_id long, start long, n_tokens long, crc long")
     return moved.groupBy("doc_id", "start", "n_tokens").agg(F.expr("bit_xor(crc)").alias("ids_crc32"))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, top_root: str | None = None) -> DataFrame:
     """Reconstruct every document from the store: `doc_id, start, n_tokens, ids` (u32 little-endian)."""
     ensure_package(spark)
-    entries = _entries(spark.read.schema(_RECIPE).parquet(f"{path}/recipes")).join(_chunks(spark, path), "digest")
+    verify_manifest(spark, path, top_root)
+    missing = F.raise_error(F.lit("a chunk is missing")).cast("binary")
+    entries = _entries(_placed(spark, path)).join(_chunks(spark, path), "digest", "left").withColumn("ids", F.coalesce("ids", missing))
 
     def widen(batches):
         for batch in batches:

@@ -36,7 +36,7 @@ def test_round_trip_and_digests(spark, tmp_path):
     for r in docs:
         assert (r.start, r.n_tokens) == (at, len(r.ids) // 4)
         at += r.n_tokens
-    got = sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_digests(spark, path).collect())
+    got = sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_digests(spark, path, top).collect())
     assert got == [(r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in docs]
     chunks = spark.read.parquet(f"{path}/staged/kind=chunk")
     assert chunks.count() == chunks.select("digest").distinct().count()
@@ -55,6 +55,39 @@ def test_a_changed_chunk_is_found(spark, tmp_path):
         token_store.read_digests(spark, path).collect()
 
 
+def test_a_lost_recipe_is_found(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "doc_id long, text string")
+    path = str(tmp_path / "store")
+    top = token_store.write_store(df, path)
+    at = f"{path}/recipes"
+    rows = spark.read.schema(token_store._RECIPE).parquet(at).orderBy("part", "inside").collect()
+    spark.createDataFrame(rows[:-1], token_store._RECIPE).write.mode("overwrite").parquet(at)
+    with pytest.raises(Exception, match="do not fit the manifest"):
+        token_store.read_digests(spark, path, top).collect()
+    renamed = [r if i else type(r)(**(r.asDict() | {"doc_id": 77})) for i, r in enumerate(rows)]
+    spark.createDataFrame(renamed, token_store._RECIPE).write.mode("overwrite").parquet(at)
+    with pytest.raises(Exception, match="do not fit the manifest"):
+        token_store.read_digests(spark, path, top).collect()
+
+
+def test_folding_gives_the_merkle_root():
+    for n in range(40):
+        leaves = [bytes([i]) * 32 for i in range(n)]
+        state = token_store._Fold()
+        for leaf in leaves:
+            state.add(leaf)
+        assert state.root() == token_store.merkle_root(leaves)
+
+
+def test_hot_chunks_join_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "HOT_PLACES", 5)
+    df = spark.createDataFrame([(i, "the same short text" if i % 2 else f"text {i}") for i in range(60)], "doc_id long, text string")
+    path = str(tmp_path / "store")
+    top = token_store.write_store(df, path)
+    docs = {r.doc_id: zlib.crc32(bytes(r.ids)) for r in token_store.read_documents(spark, path, top).collect()}
+    assert {r.doc_id: r.ids_crc32 for r in token_store.read_digests(spark, path, top).collect()} == docs
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "store")
     token_store.write_store(spark.createDataFrame([], "doc_id long, text string"), path)
