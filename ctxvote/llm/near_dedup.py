@@ -20,12 +20,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, joined_docs, lowered, mix, window_hashes, word_hashes
 from ._shared import byte_slices, cut, own_rows, partitions_of, release_memory, sized_join, text_runs
-from .components import components
+from .components import components, joined_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -33,7 +34,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 6
 #: Pivots of a bucket, members up to which its open pairs are rows, and members on a side of a cell beyond that.
 PIVOTS, SMALL, BLOCK = 4, 16, 1024
-#: Partners that are verified beside one copy of a pivot.
+#: Partners of a pivot in a bucket that are verified beside one copy of it, on average.
 SALT = 256
 
 _LOWEST = -8  # ranks up to 2**-8 are one cell
@@ -169,48 +170,76 @@ def _signer(weights: str):
 _SIGNED = "doc_id long, text_key long, n_words long, key1 long, key2 long, bands array<long>, packed binary"
 
 
+def _slices(batches, columns: tuple[str, ...], limit: int = 1 << 20):
+    """Lists of columns of a few rows each: about `limit` bytes of packed text."""
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column("packed")).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, "right"))
+            stop = min(max(stop, start + 1), start + 512)
+            rows = batch.slice(start, stop - start)
+            yield [rows.column(c).to_pylist() for c in columns]
+            start += rows.num_rows
+
+
+def _loader(weights: str):
+    """A function from packed texts to (shingles, documents, times, first of each document), documents ascending."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+
+    def load(packed: list[bytes]):
+        grams, doc, _, _ = shingles(*joined_docs([z.decompress(x) for x in packed]))
+        g, d, times = distinct_shingles(grams, doc)
+        return g, d, np.ones(len(g), np.int64) if weights == "set" else times.astype(np.int64), np.searchsorted(d, np.arange(len(packed) + 1))
+
+    return load
+
+
 def _verifier(weights: str, similarity: float):
     """Rows (pivot, salt, node, packed), a pivot's own row first: the links (u, v) that reach `similarity`."""
 
     def verify(batches):
-        import zstandard
-
         release_memory()
-        z = zstandard.ZstdDecompressor()
-
-        def load(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-            grams, doc, _, _ = shingles(*joined_docs([z.decompress(packed)]))
-            g, _, times = distinct_shingles(grams, doc)
-            return g, np.ones(len(g), np.int64) if weights == "set" else times
-
-        at, own = None, None
-        for batch in batches:
-            us, vs = [], []
-            for pivot, salt, node, packed in zip(*(batch.column(c).to_pylist() for c in ("pivot", "salt", "node", "packed")), strict=True):
+        load = _loader(weights)
+        at, own = None, None  # the group of the last row, and its pivot's shingles
+        for pivots, salts, nodes, packed in _slices(batches, ("pivot", "salt", "node", "packed")):
+            g, d, times, first = load(packed)
+            group, heads = [], [own] if own is not None else []  # of each row; the pivots' shingles by group
+            for k, (pivot, salt, node) in enumerate(zip(pivots, salts, nodes, strict=True)):
                 if (pivot, salt) != at:
                     if node != pivot:
                         raise ValueError("a pivot's row is missing")
-                    at, own = (pivot, salt), load(packed)
-                    continue
-                g, times = load(packed)
-                place = np.minimum(np.searchsorted(own[0], g), len(own[0]) - 1)
-                same = own[0][place] == g
-                shared = int(np.minimum(own[1][place], times)[same].sum())
-                if shared >= similarity * (int(own[1].sum()) + int(times.sum()) - shared) - 1e-9:
-                    us.append(pivot)
-                    vs.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                    at = (pivot, salt)
+                    heads.append((g[first[k] : first[k + 1]], times[first[k] : first[k + 1]]))
+                group.append(len(heads) - 1)
+            own, group = heads[-1], np.asarray(group)
+            # (group, shingle) as one number each: exact, and ascending among the pivots.
+            distinct, code = np.unique(np.concatenate([*[x for x, _ in heads], g]), return_inverse=True)
+            own_sizes = np.asarray([len(x) for x, _ in heads])
+            n_own = int(own_sizes.sum())
+            own_key = np.repeat(np.arange(len(heads)), own_sizes) * len(distinct) + code[:n_own]
+            own_times = np.concatenate([t for _, t in heads])
+            key = group[d] * len(distinct) + code[n_own:]
+            place = np.minimum(np.searchsorted(own_key, key), n_own - 1)
+            same = own_key[place] == key
+            shared = np.bincount(d[same], np.minimum(own_times[place], times)[same], len(nodes))
+            totals = np.bincount(d, times, len(nodes))
+            own_totals = np.asarray([t.sum() for _, t in heads])[group]
+            pivots, nodes = np.asarray(pivots, np.int64), np.asarray(nodes, np.int64)
+            linked = (shared >= similarity * (own_totals + totals - shared) - 1e-9) & (pivots != nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(pivots[linked]), pa.array(nodes[linked])], ["u", "v"])
 
     return verify
 
 
 def _links(pairs: DataFrame, texts: DataFrame, weights: str, similarity: float) -> DataFrame:
-    """The pairs (pivot, node) whose similarity is enough.  A pivot with many partners is copied beside parts of them."""
+    """The pairs (pivot, salt, node) whose similarity is enough.  A pivot's text is copied beside each of its salts."""
     n = partitions_of(pairs.sparkSession)
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("parts"))
-    salted = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), "node")
-    own = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).withColumn("node", F.col("pivot"))
-    rows = sized_join(texts, salted.union(own), ["node"], "inner").select("pivot", "salt", "node", "packed", (F.col("node") != F.col("pivot")).alias("later"))
+    own = pairs.select("pivot", "salt").distinct().select("pivot", "salt", F.col("pivot").alias("node"))
+    rows = sized_join(texts, pairs.select("pivot", "salt", "node").union(own), ["node"], "inner")
+    rows = rows.select("pivot", "salt", "node", "packed", (F.col("node") != F.col("pivot")).alias("later"))
     rows = rows.repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", "later").drop("later")
     return rows.mapInArrow(_verifier(weights, similarity), "u long, v long")
 
@@ -249,17 +278,9 @@ def _cell_verifier(weights: str, similarity: float):
     """Rows (bucket, a, b, later, node, root, bands, packed) by cell, its indexed side first: the links (u, v)."""
 
     def verify(batches):
-        import zstandard
-
         release_memory()
-        z = zstandard.ZstdDecompressor()
-
-        def load(packed: list[bytes]):
-            grams, doc, _, _ = shingles(*joined_docs([z.decompress(x) for x in packed]))
-            g, d, times = distinct_shingles(grams, doc)
-            return g, d, np.ones(len(g), np.int64) if weights == "set" else times
-
-        at, held, index = None, [], None
+        load = _loader(weights)
+        at, held, parts, index = None, [], [], None
         us, vs = [], []
 
         def probe(bucket, node, root, bands, grams, times, upto):
@@ -268,12 +289,9 @@ def _cell_verifier(weights: str, similarity: float):
                 vs.append(node)
 
         def build():
-            parts = [load([h[3] for h in held[i : i + 64]]) for i in range(0, len(held), 64)]
-            docs = [d + 64 * i for i, (_, d, _) in enumerate(parts)]
-            cat = lambda xs: np.concatenate(xs)
-            flat = cat([g for g, _, _ in parts]), cat(docs), cat([t for _, _, t in parts])
-            built = _Index([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], *flat)
-            return built, flat
+            first = np.cumsum([0, *[n for _, _, _, n in parts]])
+            flat = [np.concatenate(x) for x in zip(*[(g, d + k, t) for (g, d, t, _), k in zip(parts, first, strict=False)], strict=True)]
+            return _Index(*[[h[i] for h in held] for i in range(3)], *flat), flat
 
         def end_cell():
             """Within a cell on the diagonal, each text is compared with those before it."""
@@ -284,26 +302,23 @@ def _cell_verifier(weights: str, similarity: float):
                 for k in range(1, len(held)):
                     probe(at[0], held[k][0], held[k][1], index.bands[k], grams[ends[k] : ends[k + 1]], times[ends[k] : ends[k + 1]], k)
 
-        for big in batches:
-            for start in range(0, big.num_rows, 256):
-                rows = big.slice(start, 256).to_pylist()
-                for r in rows:
-                    cell = (r["bucket"], r["a"], r["b"])
-                    if cell != at:
-                        end_cell()
-                        at, held, index = cell, [], None
-                    if not r["later"]:
-                        held.append((r["node"], r["root"], r["bands"], r["packed"]))
-                        continue
-                    if not held:
-                        continue
+        for rows in _slices(batches, ("bucket", "a", "b", "later", "node", "root", "bands", "packed")):
+            g, d, times, first = load(rows[-1])
+            for k, (bucket, a, b, later, node, root, bands, _) in enumerate(zip(*rows, strict=True)):
+                if (bucket, a, b) != at:
+                    end_cell()
+                    at, held, parts, index = (bucket, a, b), [], [], None
+                own = slice(first[k], first[k + 1])
+                if not later:
+                    held.append((node, root, bands))
+                    parts.append((g[own], d[own] - k, times[own], 1))
+                elif held:
                     if index is None:
                         index, _ = build()
-                    g, _, times = load([r["packed"]])
-                    probe(cell[0], r["node"], r["root"], np.asarray(r["bands"], np.int64), g, times, len(held))
-                if us:
-                    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-                    us.clear(), vs.clear()
+                    probe(bucket, node, root, np.asarray(bands, np.int64), g[own], times[own], len(held))
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                us, vs = [], []
         end_cell()
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
@@ -361,17 +376,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = buckets.select("bucket", "n", F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots"))
     members = cut(members.join(buckets, "bucket"))
 
-    # A node meets the same pivots in most of its buckets: they are gathered before they are paired.
-    met = members.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))
-    tested = cut(met.select(F.explode("pivots").alias("pivot"), "node").where("pivot <> node"))
-    links = cut(_links(tested, texts, weights, similarity))
-    roots = components(links)
+    # A node meets the same pivots in most of its buckets: they are gathered before they are paired.  Partners of a
+    # pivot are dealt to salts that follow the size of the buckets, so that no pivot meets all of them in one task.
+    met = members.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"), F.max("n").alias("most"))
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("most") / SALT)).cast("int")
+    tested = cut(met.select(F.explode("pivots").alias("pivot"), salt.alias("salt"), "node").where("pivot <> node"))
+    roots = components(_links(tested, texts, weights, similarity))
     pairs = cut(_untested(members.where(F.col("n") <= SMALL).select("bucket", "node"), roots, tested))
     cells = cut(_cells(members.where(F.col("n") > SMALL), roots))
     more = [_links(pairs, texts, weights, similarity)] if not pairs.isEmpty() else []
     more += [_cell_links(cells, signed, weights, similarity)] if not cells.isEmpty() else []
     if more:
-        roots = components(reduce(DataFrame.union, more, links))
+        roots = joined_components(roots, reduce(DataFrame.union, more))
 
     found = nodes.join(roots, "node", "left").select("key1", "key2", F.coalesce("root", "node").alias("root"))
     labelled = signed.select("row", "doc_id", "text_key", "n_words", "key1", "key2").join(found, ["key1", "key2"], "left")
@@ -390,5 +406,5 @@ def _untested(members: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFr
     there = labelled.join(several, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("m"))  # at most SMALL
     one = lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["root"] != x["root"])), lambda y: F.struct(x["node"].alias("pivot"), y["node"].alias("node")))
     pairs = there.select(F.explode(F.flatten(F.transform("m", one))).alias("p")).select("p.pivot", "p.node").distinct()
-    turned = tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"))
-    return pairs.join(tested.union(turned), ["pivot", "node"], "left_anti")
+    known = tested.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
+    return pairs.join(known, ["pivot", "node"], "left_anti").select("pivot", F.lit(0).alias("salt"), "node")  # few partners each

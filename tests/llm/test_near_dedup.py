@@ -74,6 +74,59 @@ def test_pairs_in_a_large_family_near_the_threshold(spark, monkeypatch):
     assert sorted(((r.doc_id, r.class_id, r.class_size) for r in got), key=repr) == brute(rows)
 
 
+def satellites(seed, families=4, members=60, each=15):
+    """Families of near copies, and satellites of theirs that are similar enough to one member alone."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    rows = []
+    for f in range(families):
+        base = [word() for _ in range(220)]
+        near = []
+        for _ in range(members):
+            w = list(base)
+            at = rng.randrange(200)
+            w[at : at + 8] = [word() for _ in range(8)]
+            near.append(w)
+        for m in rng.sample(range(members), each):
+            w = list(near[m])
+            at = rng.randrange(170)
+            w[at : at + 18] = [word() for _ in range(18)]
+            near.append(w)
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate(near)]
+    return [(i, t) for i, (_, t) in enumerate(rows)]
+
+
+def test_satellites_of_large_families_keep_their_links(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup_module, "SALT", 7)  # a pivot's partners in several parts
+    rows = satellites(21)
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id, r.class_size) for r in got), key=repr) == brute(rows)
+
+
+def test_counts_as_weights(spark):
+    rows = [(1, "a b c d e " * 40), (2, "a b c d e " * 41), (3, "a b c d e " * 80), (4, "x " + "a b c d e " * 39)]
+    got = {r.doc_id: r.class_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), weights="counts").collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    long = " ".join(f"w{i % 50_021}" for i in range(120_000))
+    rows = [(5, long), (6, long + " more words at its end"), (5, long), (7, long[: len(long) // 2]), (8, "")]
+    got = near_dedup(spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, packed string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == brute(rows)
+    assert sum(r.kept for r in got) == len({r.class_id for r in got})
+
+
+def test_components_after_more_links(spark):
+    from ctxvote.llm.components import joined_components
+
+    frame = lambda x: spark.createDataFrame(x, "u long, v long")
+    first = [(1, 2), (2, 3), (10, 11), (20, 21)]
+    more = [(3, 11), (11, 30), (40, 41), (21, 20)]
+    got = {r.node: r.root for r in joined_components(components(frame(first)), frame(more)).collect()}
+    assert got == {r.node: r.root for r in components(frame(first + more)).collect()}
+
+
 def test_empty_table(spark):
     assert near_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
