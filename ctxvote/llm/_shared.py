@@ -120,12 +120,20 @@ def kept_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     Rows are told apart by id and `xxhash64` of the text.  Of rows that agree in both, one stays if one is kept.
     """
     rows = cut(decided.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
-    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_key").alias("_key")]
-    on = ["_id", "_none", "_key"]
-    own = F.col(id_col).cast("long")
-    keyed = docs.withColumns({"_id": F.coalesce(own, F.lit(0)), "_none": own.isNull(), "_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    out = sized_join(keyed, rows.where(~F.col("kept")).select(*key), on, "left_anti")
-    again = rows.where("kept and n > 1").select(*key)
+    on = free_names(docs.columns, "id", "none", "key")
+    make = lambda doc_id, key: dict(zip(on, (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), key), strict=True))
+    own = make(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    there = rows.select("kept", "n", *[c.alias(x) for x, c in make(F.col("doc_id"), F.col("text_key")).items()])
+    out = sized_join(docs.withColumns(own), there.where(~F.col("kept")).select(*on), on, "left_anti")
+    again = there.where("kept and n > 1").select(*on)
     if not again.isEmpty():
         out = sized_join(out, again, on, "left_anti").unionByName(sized_join(out, again, on, "left_semi").dropDuplicates(on))
     return out.select(*[out[f"`{c}`"] for c in docs.columns])
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names that no column of `taken` has, whatever its case."""
+    mark, lower = "_", {c.lower() for c in taken}
+    while any(f"{mark}{w}" in lower for w in wanted):
+        mark += "_"
+    return [f"{mark}{w}" for w in wanted]

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -51,3 +53,28 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_are_carried_as_they_are(spark, tmp_path):
+    docs = build(spark, str(tmp_path))
+    names = ["_id", "_NONE", "_key", "__id", "text_key", "kept", "run", "digest", "score", "row"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names]).where("doc_id < 40 or doc_id >= 300")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        wide_out = stage(spark, wide, str(tmp_path))
+        assert wide_out.columns == wide.columns
+        for r in wide_out.collect():
+            assert all(r[n] == f"{n}-{r.doc_id}" for n in names)
+
+
+def test_very_long_texts_pass_whole(spark, tmp_path):
+    docs = build(spark, str(tmp_path))
+    long = " ".join(f"w{i}" for i in range(200_000))
+    few = docs.where("doc_id in (1, 2)").union(spark.createDataFrame([(900, long, "en", "s", len(long)), (901, long + " end", "en", "s", len(long) + 4)], docs.schema))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        few = stage(spark, few, str(tmp_path))
+    assert {r.doc_id for r in few.collect()} == {1, 2, 900}  # 901 is near 900
+    pieces = corpus_pipeline.pack(spark, few, str(tmp_path)).collect()
+    for doc_id in (1, 2, 900):
+        own = sorted((r.start, r.length) for r in pieces if r.doc_id == doc_id)
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+        assert own[-1][0] + own[-1][1] == next(r.doc_tokens for r in pieces if r.doc_id == doc_id)
