@@ -1,10 +1,14 @@
 """Main text of web pages by site template removal.
 
-A page is parsed to a tree of elements.  Elements that say what they are (menus, headers, footers, adverts, forms,
-notices, reader comments, ...) go by their tag, role or class.  Templates that do not say so are found by counting:
-every page sends the hashes of its subtrees, Spark counts for each host on how many different pages a subtree
-stands, and subtrees that recur are deleted.  Pages with the same main text count once, so copies of an article do
-not make it a template; running text inside a declared article is never taken for one.
+A page is parsed to a tree of elements.  Every page sends the hashes of its subtrees (tags and texts, folded from the
+leaves up), Spark counts for each host on how many different pages a subtree stands, and subtrees that recur on many of
+them are deleted from the whole tree, before anything else is looked at.  Rules come second, for what need not recur:
+elements that say by tag, role or class that they are menus, headers, footers, adverts, forms, notices or reader
+comments, yet differ from page to page.
+
+For a subtree, pages count as different by their longest block of text outside it, so copies of an article under other
+dates or links do not make its parts templates.  Running text inside a declared article is never taken for a template, since passages repeat there by
+right; a subtree that holds most of the text of a page without a declared article is not one either.
 
 The text is that of the page's articles, else of its main part, else of its body.
 """
@@ -12,9 +16,11 @@ The text is that of the page's articles, else of its main part, else of its body
 from __future__ import annotations
 
 import hashlib
+import heapq
 import html as references
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ensure_package
-from ._shared import cut
+from ._shared import cut, sized_join
 
-#: A subtree is a template from this many different pages of a host on; running text and parts of an article need
-#: this share of the host's pages beside.
+#: A subtree is a template from this many different pages of a host on that are this share of all its pages; running
+#: text and parts of a declared article need the second share.
 MIN_PAGES = 4
-MIN_SHARE = 0.5
+MIN_SHARE, MIN_SHARE_TEXT = 0.02, 0.3
+#: Of this many blocks of a page, the longest outside a subtree tells its page from others; none outside is like all.
+_LONGEST = 16
 #: Template hashes (8 bytes each) up to this count are broadcast; beyond it they are joined to the pages.
 BROADCAST_TEMPLATES = 1_000_000
 
@@ -66,18 +74,21 @@ def parse(source: str) -> Element:
     """A tree of elements; open paragraphs, items and cells end where HTML ends them, other ends close what they name."""
     root = Element("#root", {}, 0)
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
 
     def close(upto: int, where: int) -> None:
         while len(stack) > upto:
-            stack.pop().end = where
+            e = stack.pop()
+            e.end = where
+            places[e.tag].pop()
+
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def find(tags, borders) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in borders:
-                return -1
-        return -1
+        """The innermost open element of `tags` that no border shuts in."""
+        found = innermost(tags)
+        return found if found >= innermost(borders) else -1
 
     n = len(source)
     while at < n:
@@ -92,10 +103,10 @@ def parse(source: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            if (i := find({tag}, ())) > 0:
+            if (i := find((tag,), ())) > 0:
                 close(i, at)
             continue
-        if tag in CLOSES_P and (i := find({"p"}, _P_BORDER)) > 0:
+        if tag in CLOSES_P and (i := find(("p",), _P_BORDER)) > 0:
             close(i, m.start())
         if tag in _ENDS:
             tags, borders = _ENDS[tag]
@@ -107,17 +118,23 @@ def parse(source: str) -> Element:
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             made.end = at
         elif tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            end = _raw_end(tag).search(source, at)
             stop = end.start() if end else n
             made.children.append(source[at:stop])
             made.end = at = end.end() if end else n
         else:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(made)
     close(1, n)
     root.end = n
     return root
 
 
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
+
+
 def says_not_text(e: Element, in_article: bool) -> bool:
     """Whether an element's tag, role or class tells that it is not main text."""
     if e.tag in NOT_TEXT or e.tag == "header" and not in_article:
@@ -131,13 +148,15 @@ def says_not_text(e: Element, in_article: bool) -> bool:
     return bool(names) and e.tag not in ("html", "body", "article", "main") and bool(NOT_TEXT_WORDS.search(names)) or e.tag == "article" and bool(re.search(r"\bcomment", names))
 
 
-def main_parts(root: Element) -> tuple[list[Element], bool]:
-    """The elements that hold the main text, and whether the page declares them."""
+def main_parts(root: Element, dropped: frozenset | set = frozenset()) -> tuple[list[Element], bool]:
+    """The elements that hold the main text, and whether the page declares them; `dropped` ones do not count."""
     for wanted in (lambda e: e.tag == "article" or e.attributes.get("role") == "article", lambda e: e.tag == "main" or e.attributes.get("role") == "main"):
         found: list[Element] = []
         todo = [root]
         while todo:
             e = todo.pop()
+            if id(e) in dropped:
+                continue
             if wanted(e) and not says_not_text(e, True):
                 found.append(e)
             elif not says_not_text(e, False):
@@ -153,31 +172,87 @@ def main_parts(root: Element) -> tuple[list[Element], bool]:
     return [root], False
 
 
-def subtree_hash(host: str, source: str, e: Element) -> int:
-    """A hash of a host and a subtree's source, white space apart."""
-    key = f"{host}\n{' '.join(source[e.start : e.end].split())}"
-    return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+@dataclass(slots=True)
+class Subtree:
+    """A subtree that may be a template: its hash, whether it needs the larger share of the host's pages, and the hash of
+    the longest block of text elsewhere on its page."""
+
+    element: Element
+    hash: int
+    weak: bool
+    page: int
+
+
+def _hash(*parts: str | bytes) -> bytes:
+    h = hashlib.blake2b(digest_size=8)
+    for x in parts:
+        h.update(x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass"))
+        h.update(b"\xff")
+    return h.digest()
 
 
-def candidates(source: str, root: Element) -> list[tuple[Element, bool]]:
-    """The subtrees that may be templates, each with whether it needs a share of the host's pages: running text and
-    anything inside a declared main part.  Running text inside a declared main part is none."""
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def subtrees(host: str, root: Element) -> tuple[list[Subtree], int]:
+    """(the subtrees of a page that may be templates, the hash of the page's text).
+
+    Hashes are folded from the leaves up, each element's from its tag, its own texts and those of its children, white
+    space and attributes apart, so that a page costs time in proportion to its length however deep it nests.  No
+    subtree is: a page's body, article or main part; running text inside a declared one; on a page that declares none,
+    one with more than half of the text; one without text.
+    """
     parts, declared = main_parts(root)
     inside = {id(e) for e in parts} if declared else set()
-    out: list[tuple[Element, bool]] = []
+    order: list[tuple[Element, bool]] = []  # parents first, a subtree in one run
     todo = [(root, False)]
     while todo:
         e, within = todo.pop()
         within = within or id(e) in inside
-        for c in reversed(e.children):
-            if isinstance(c, Element):
-                todo.append((c, within))
-        if e.tag in BLOCK and e.tag not in ("html", "body", "article", "main") and not (within and e.tag in PROSE):
-            out.append((e, within or e.tag in PROSE))
-    return out
+        order.append((e, within))
+        todo.extend((c, within) for c in e.children if isinstance(c, Element))
+    digests: dict[int, bytes] = {}
+    lengths: dict[int, int] = {}  # characters of text below
+    sizes: dict[int, int] = {}  # elements in it
+    texts: list[tuple[int, int, bytes]] = []  # (length, place, hash) of blocks of text
+    for k in range(len(order) - 1, -1, -1):
+        e = order[k][0]
+        own, length, held, size = [f"<{e.tag}>"], 0, [], 1
+        for c in e.children:
+            if isinstance(c, str):
+                if text := " ".join(c.split()):
+                    own.append(text)
+                    held.append(text)
+            else:
+                own.append(digests[id(c)])
+                length += lengths[id(c)]
+                size += sizes[id(c)]
+        digests[id(e)], sizes[id(e)] = _hash(*own), size
+        if e.tag in NOT_TEXT:
+            lengths[id(e)] = 0
+            continue
+        here = sum(map(len, held))
+        lengths[id(e)] = length + here
+        if here:
+            texts.append((here, k, _hash(*held)))
+    most = lengths[id(root)] / 2
+    whole = _number(_hash(*[h for _, _, h in texts]))
+    longest = heapq.nlargest(_LONGEST, texts)
+    found = []
+    for k, (e, within) in enumerate(order):
+        if e.tag not in BLOCK or e.tag in ("html", "body", "article", "main") or within and e.tag in PROSE:
+            continue
+        if e.tag not in NOT_TEXT and (not lengths[id(e)] or not declared and lengths[id(e)] > most):
+            continue
+        end = k + sizes[id(e)]
+        elsewhere = next((h for _, at, h in longest if not k <= at < end), None)
+        page = _number(_hash("") if elsewhere is None else elsewhere)
+        found.append(Subtree(e, _number(_hash(host, digests[id(e)])), within or e.tag in PROSE, page))
+    return found, whole
 
 
-def blocks(parts: list[Element], dropped: set[int], declared: bool) -> list[str]:
+def blocks(parts: list[Element], dropped: set[int] | frozenset, declared: bool) -> list[str]:
     """The text of the blocks in page order, white space collapsed, empty ones left out."""
     out: list[str] = []
     line: list[str] = []
@@ -218,19 +293,35 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def main_text(source: str | None, url: str | None, is_template) -> str:
-    """The main text of a page; `is_template(hashes)` tells which subtree hashes are templates."""
+def page_text(source: str | None, url: str | None, is_template) -> tuple[str, int]:
+    """(the main text of a page, how many template subtrees were deleted, those within others apart).
+
+    `is_template(hashes)` tells which subtree hashes are templates.
+    """
     if not source:
-        return ""
+        return "", 0
     root = parse(source)
-    parts, declared = main_parts(root)
-    found = candidates(source, root)
-    dropped: set[int] = set()
-    if found:
-        host = host_of(url)
-        flags = is_template([subtree_hash(host, source, e) for e, _ in found])
-        dropped = {id(e) for (e, _), gone in zip(found, flags, strict=True) if gone}
-    return "\n".join(blocks(parts, dropped, declared))
+    found, _ = subtrees(host_of(url), root)
+    flags = is_template([x.hash for x in found]) if found else []
+    dropped = {id(x.element) for x, gone in zip(found, flags, strict=True) if gone}
+    n, todo = 0, [root] if dropped else []
+    while todo:
+        e = todo.pop()
+        if id(e) in dropped:
+            n += 1
+        else:
+            todo.extend(c for c in e.children if isinstance(c, Element))
+    return "\n".join(blocks(*_parts(root, dropped))), n
+
+
+def _parts(root: Element, dropped: set[int] | frozenset) -> tuple[list[Element], set[int] | frozenset, bool]:
+    parts, declared = main_parts(root, dropped)
+    return parts, dropped, declared
+
+
+def text_by_rules(source: str | None) -> str:
+    """The main text of a page by itself, without its site: tags and rules alone."""
+    return "\n".join(blocks(*_parts(parse(source), frozenset()))) if source else ""
 
 
 def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -241,8 +332,8 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 def site_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """`(template)`: hashes of the subtrees that recur on their host.
 
-    A page speaks under a hash of its main text, so that copies count once.  Counts are grouped sums of distinct
-    (subtree, page) pairs, which a large host spreads over all partitions.
+    A page speaks for a subtree under the hash of its longest block outside it, so that copies count once.  Counts are
+    grouped sums of distinct (subtree, page) pairs, which a large host spreads over all partitions.
     """
     rows = _rows(pages, id_col, url_col, html_col).where("html is not null").select("url", "html")
 
@@ -250,13 +341,10 @@ def site_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         for batch in batches:
             out: dict[str, list] = {"host": [], "subtree": [], "page": [], "weak": []}
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                root, host = parse(source), host_of(url)
-                parts, declared = main_parts(root)
-                text = "\n".join(blocks(parts, set(), declared))
-                page = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                host_key = int.from_bytes(hashlib.blake2b(host.encode(), digest_size=8).digest(), "little", signed=True)
-                found = {subtree_hash(host, source, e): weak for e, weak in candidates(source, root)}
-                found_rows = [(host_key, None, page, False), *[(host_key, h, page, weak) for h, weak in found.items()]]
+                host = host_of(url)
+                own, whole = subtrees(host, parse(source))
+                host_key, found = _number(_hash(host)), {(x.hash, x.page, x.weak) for x in own}
+                found_rows = [(host_key, None, whole, False), *[(host_key, *x) for x in found]]
                 for c, v in zip(out, zip(*found_rows, strict=True), strict=True):
                     out[c].extend(v)
             if out["page"]:
@@ -266,19 +354,21 @@ def site_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     counts = sent.groupBy("host", "subtree", "page").agg(F.max("weak").alias("weak"))
     counts = cut(counts.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"), F.max("weak").alias("weak")).where((F.col("n") >= MIN_PAGES) | F.col("subtree").isNull()))
     hosts = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    recurring = counts.where("subtree is not null").join(hosts, "host")
-    return recurring.where(~F.col("weak") | (F.col("n") >= F.greatest(F.lit(2 * MIN_PAGES), MIN_SHARE * F.col("pages")))).select(F.col("subtree").alias("template")).distinct()
+    recurring = sized_join(counts.where("subtree is not null"), hosts, ["host"], "inner")
+    share = F.when(F.col("weak"), MIN_SHARE_TEXT).otherwise(MIN_SHARE)
+    return recurring.where(F.col("n") >= share * F.col("pages")).select(F.col("subtree").alias("template")).distinct()
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per input row: `page_id, url, text`.
+    """One row per input row: `page_id, url, text, n_template_subtrees`.
 
     Null and empty html has an empty text, and so has a page without main text.  Pages without a URL share the empty
-    host.  Rows that repeat an id are separate rows; an empty table gives no rows; other columns are not read.
+    host.  Very long and very deep pages are read whole.  Rows that repeat an id are separate rows; an empty table gives
+    no rows; other columns are not read.
     """
     rows = _rows(pages, id_col, url_col, html_col)
     templates = cut(site_templates(pages, id_col, url_col, html_col))
-    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string"
+    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_template_subtrees int"
     if templates.count() <= BROADCAST_TEMPLATES:
         known = np.sort(np.array([r.template for r in templates.collect()], np.int64))
         shared = rows.sparkSession.sparkContext.broadcast(known)
@@ -293,13 +383,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 return templates[place] == np.asarray(hashes)
 
             for batch in batches:
-                texts = [main_text(h, u, is_template) for h, u in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+                yield _text_rows(batch, [page_text(h, u, is_template) for h, u in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist(), strict=True)])
 
         return rows.mapInArrow(extract, schema)
     return _extract_joined(rows, templates, schema)
 
 
+def _text_rows(batch: pa.RecordBatch, found: list[tuple[str, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int32())], ["page_id", "url", "text", "n_template_subtrees"])
+
+
 def _extract_joined(rows: DataFrame, templates: DataFrame, schema: str) -> DataFrame:
     """Extraction where templates are too many to broadcast: each page is joined with those that it holds."""
     keyed = rows.withColumn("page_key", F.xxhash64("url", "html"))
@@ -309,7 +402,7 @@ def _extract_joined(rows: DataFrame, templates: DataFrame, schema: str) -> DataF
             keys, hashes = [], []
             for key, url, source in zip(*(batch.column(c).to_pylist() for c in ("page_key", "url", "html")), strict=True):
                 if source:
-                    found = {subtree_hash(host_of(url), source, e) for e, _ in candidates(source, parse(source))}
+                    found = {x.hash for x in subtrees(host_of(url), parse(source))[0]}
                     keys += [key] * len(found)
                     hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], ["page_key", "template"])
@@ -322,7 +415,7 @@ def _extract_joined(rows: DataFrame, templates: DataFrame, schema: str) -> DataF
             texts = []
             for source, url, templates in zip(*(batch.column(c).to_pylist() for c in ("html", "url", "templates")), strict=True):
                 known = set(templates or ())
-                texts.append(main_text(source, url, lambda hashes, known=known: [h in known for h in hashes]))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+                texts.append(page_text(source, url, lambda hashes, known=known: [h in known for h in hashes]))
+            yield _text_rows(batch, texts)
 
     return keyed.join(held, "page_key", "left").select("page_id", "url", "html", "templates").mapInArrow(extract, schema)
