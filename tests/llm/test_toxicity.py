@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -46,10 +47,62 @@ def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.2
     vote = lambda p: np.where(rng.random(4000) < p, np.where(y, 1, -1), np.where(y, -1, 1))
-    a, b, c = vote(0.95), vote(0.8), vote(0.7)
-    votes = np.stack([a, b, c, c, c], axis=1)  # three voters are one
-    model = toxicity.fit_label_model(list("abcde"), votes, np.ones(4000), np.where(a > 0, 0.8, 0.2))
+    a, b, c, d = vote(0.95), vote(0.8), vote(0.7), vote(0.75)
+    votes = np.stack([a, b, c, c, c, d], axis=1)  # three voters are one
+    model = toxicity.fit_label_model(list("abcdef"), votes, np.ones(4000), np.where(b + d > 0, 0.8, 0.2), belief=0.9)
     found = model.accuracies()
     assert abs(found["a"] - 0.95) < 0.05 and abs(found["b"] - 0.8) < 0.08
-    assert model.correlations[2, 3] > 0.9 and model.weights[2] < 0.6 < model.weights[1]
+    assert model.information[2, 3] > 10 * model.information[1, 2]
+    assert sum({k, p} <= {2, 3, 4} for k, p in enumerate(model.parents)) == 2  # the three hang together
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.94
+    # Voters that repeat another add nothing: the posterior is that of the model without them.
+    once = toxicity.fit_label_model(list("abcf"), votes[:, [0, 1, 2, 5]], np.ones(4000), np.where(b + d > 0, 0.8, 0.2), belief=0.9)
+    assert np.abs(once.posterior(votes[:, [0, 1, 2, 5]]) - model.posterior(votes)).mean() < 0.01
+
+
+def test_posterior_is_that_of_the_enumerated_joint():
+    rng = np.random.default_rng(7)
+    votes = rng.integers(-1, 2, (500, 4))
+    votes[:, 2] = np.where(rng.random(500) < 0.7, votes[:, 1], votes[:, 2])
+    model = toxicity.fit_label_model(list("abcd"), votes, rng.random(500) + 0.5, rng.random(500), rounds=4)
+    every = np.array(list(itertools.product((-1, 0, 1), repeat=4)))
+    joint = np.empty((81, 2))
+    for i, v in enumerate(every):
+        for y in (0, 1):
+            p = model.prior if y else 1 - model.prior
+            for k, parent in enumerate(model.parents):
+                p *= model.tables[k, y, v[parent] + 1 if parent >= 0 else 0, v[k] + 1]
+            joint[i, y] = p
+    assert abs(joint.sum() - 1) < 1e-9  # a distribution over all votes and both classes
+    assert np.allclose(model.posterior(every), joint[:, 1] / joint.sum(axis=1))
+    # The tree is the best of all trees.
+    edges = list(itertools.combinations(range(4), 2))
+    trees = [t for t in itertools.combinations(edges, 3) if len({x for e in t for x in e}) == 4 and not any(len({x for e in s for x in e}) < 3 or len(s) == 3 and len({x for e in s for x in e}) == 3 for s in itertools.combinations(t, 3))]
+    best = max(sum(model.information[a, b] for a, b in t) for t in trees)
+    own = toxicity.dependency_tree(model.information)
+    assert abs(sum(model.information[k, p] for k, p in enumerate(own) if p >= 0) - best) < 1e-12
+
+
+def test_label_noise_is_outvoted_and_reported(spark):
+    docs, labels = corpus(900)
+    flipped = [(i, y if i is None or y is None or i % 31 or i > 900 else 1 - y) for i, y in labels]
+    d = spark.createDataFrame(docs, "doc_id long, text string, score string, held_out double")
+    model = toxicity.fit(d, spark.createDataFrame(flipped, "doc_id long, toxic int"))
+    assert 0.9 < model.label_model.agreement < 1.0
+    rows = [r for r in toxicity.score(d, model).collect() if r.doc_id is not None and r.doc_id < 900]
+    assert sum((r.score >= 0.5) == (r.doc_id % 5 == 0) for r in rows) >= 0.96 * len(rows)
+
+
+def test_very_long_texts_ties_and_repeated_rows(spark):
+    docs, labels = corpus()
+    long = "aeiou " * 300_000
+    more = [(9100, long, "x", 1.0), (9101, long + "zorgel zorgelen quaxil quaxilist zorgelist", "x", 1.0)]
+    d = spark.createDataFrame([*docs, *more, *more, docs[0]], "doc_id long, text string, score string, held_out double")
+    model = toxicity.fit(d, spark.createDataFrame([*labels, labels[0], (0, 0)], "doc_id long, toxic int"))
+    again = toxicity.fit(d.repartition(7), spark.createDataFrame([*labels, labels[0], (0, 0)], "doc_id long, toxic int").repartition(5))
+    assert set(model.weights) == set(again.weights)
+    got = {}
+    for r in toxicity.score(d, model).collect():
+        assert got.setdefault((r.doc_id, r.score)) is None
+    scores = dict(got)
+    assert {i for i, s in scores if s >= 0.7} >= {9101} and 9100 not in {i for i, s in scores if s >= 0.7}
