@@ -5,7 +5,7 @@ Four kinds of evidence on a page are combined in one posterior:
 - text: multinomial likelihoods of character trigrams, learnt from documents with a known language and tempered, so
   that a long text counts as `EVIDENCE` trigrams at most and its trigrams are not taken for independent;
 - the declared markup language (`<html lang=...>`) and the address suffix (a language segment of the path, else the
-  top-level domain): P(cue | language) from grouped counts against the text's posteriors, smoothed;
+  top-level domain): P(cue | language) from grouped sums of the text's posteriors on the other pages, smoothed;
 - the host: a prior from the posteriors of the host's other pages, smoothed towards that of its domain, and this
   towards that of all pages.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import BROADCAST_IDS, cut, own_rows, sized_join
-from .html_text import host_of, main_text
+from .html_text import host_of, text_by_rules
 
 #: Documents of each language that the text model is fitted to.
 FIT_ROWS = 4_000
@@ -99,23 +99,27 @@ def _softmax(scores: Column) -> Column:
     return F.transform(powers, lambda p: p / total)
 
 
-def _cue_table(pages: DataFrame, cue: str, langs: list[str]) -> DataFrame:
-    """`cue, <cue>_log`: log P(cue | language) by language, from the text's posteriors."""
-    sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(len(langs))]
-    counts = pages.groupBy(cue).agg(F.count(F.lit(1)).alias("n"), *sums)
-    totals = pages.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col("p")[i]).alias(f"t{i}") for i in range(len(langs))]).first()
-    total = max(totals["_n"] or 0, 1)
-    share = F.col("n") / F.lit(float(total))
-    logs = [F.log((F.col(f"s{i}") + CUE_WEIGHT * share) / F.lit((totals[f"t{i}"] or 0.0) + CUE_WEIGHT)) for i in range(len(langs))]
-    return counts.select(cue, F.array(*logs).alias(f"{cue}_log"))
+def _cue_table(pages: DataFrame, cue: str, n: int) -> DataFrame:
+    """`cue, <cue>_s, <cue>_n`: the sums of the text's posteriors over the pages of each value, and how many these are."""
+    return pages.groupBy(cue).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(n)]).alias(f"{cue}_s"), F.count(F.lit(1)).alias(f"{cue}_n"))
+
+
+def _cue_log(cue: str, i: int, world: float) -> Column:
+    """log P(value | language i) up to a constant: P(language | value) over P(language), from the value's other pages.
+
+    Smoothed towards the language's share of all pages, so that a value that no other page has says nothing.
+    """
+    others = F.greatest(F.col(f"{cue}_s")[i] - F.col("p")[i], F.lit(0.0))
+    return F.log((others + CUE_WEIGHT * world) / ((F.col(f"{cue}_n") - 1 + CUE_WEIGHT) * world))
 
 
 def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lang_col: str = "lang") -> DataFrame:
     """One row per page: `page_id, lang, probability, text_lang, declared, suffix, host`.
 
     Null and empty html has no text evidence and no declaration, a null URL the empty host and suffix; what remains
-    decides.  Ties go to the first language in alphabetical order.  Without labelled documents the language is null.
-    Rows that repeat an id are separate rows; an empty table gives no rows; other columns are not read.
+    decides.  Ties go to the first language in alphabetical order.  Without labelled documents the language is null;
+    documents without an id, a language or a text are not learnt from.  Very long pages are read whole.  Rows that
+    repeat an id are separate rows; an empty table gives no rows; other columns are not read.
     """
     spark = pages.sparkSession
     langs, table, unknown = fit_text(docs, lang_col)
@@ -131,7 +135,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
         for batch in batches:
             logs, hosts, domains, suffixes = [], [], [], []
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                grams = trigrams(main_text(html, url, lambda hashes: [False] * len(hashes)))
+                grams = trigrams(text_by_rules(html))
                 n = sum(grams.values())
                 sums = [0.0] * len(other)
                 for gram, times in grams.items():
@@ -146,22 +150,23 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     weighed = rows.withColumn("declared", declared).mapInArrow(weigh, f"{schema}, declared string, suffix string, host string, domain string, ll array<double>")
     weighed = cut(weighed.withColumn("p", _softmax(F.col("ll"))))
     n = len(langs)
+    joined = weighed
     for cue in ("declared", "suffix"):
-        known_cues = cut(_cue_table(weighed.select(cue, "p"), cue, langs))
+        known_cues = cut(_cue_table(weighed.select(cue, "p"), cue, n))
         small = known_cues.count() * n <= BROADCAST_IDS  # numbers
-        weighed = weighed.join(F.broadcast(known_cues) if small else known_cues, cue, "left")
+        joined = joined.join(F.broadcast(known_cues) if small else known_cues, cue)
     sums = lambda name: F.array(*[F.sum(F.col("p")[i]) for i in range(n)]).alias(name)
     all_pages = weighed.agg(sums("s"), F.count(F.lit(1)).alias("n")).first()
-    world = [(x or 0.0) / max(all_pages.n, 1) for x in all_pages.s]
+    world = [max((x or 0.0) / max(all_pages.n, 1), 1e-9) for x in all_pages.s]
     domains = cut(weighed.groupBy("domain").agg(sums("domain_s"), F.count(F.lit(1)).alias("domain_n")))
     hosts = cut(weighed.groupBy("host").agg(sums("host_s"), F.count(F.lit(1)).alias("host_n")))
-    fused = sized_join(sized_join(weighed, domains, ["domain"], "inner"), hosts, ["host"], "inner")
+    fused = sized_join(sized_join(joined, domains, ["domain"], "inner"), hosts, ["host"], "inner")
     scores = []
     for i in range(n):
         own = F.col("p")[i]  # a page does not vote on itself
         domain = (F.col("domain_s")[i] - own + HOST_WEIGHT * world[i]) / (F.col("domain_n") - 1 + HOST_WEIGHT)
         host = (F.col("host_s")[i] - own + HOST_WEIGHT * domain) / (F.col("host_n") - 1 + HOST_WEIGHT)
-        cues = F.coalesce(F.col("declared_log")[i], F.lit(0.0)) + F.coalesce(F.col("suffix_log")[i], F.lit(0.0))
+        cues = _cue_log("declared", i, world[i]) + _cue_log("suffix", i, world[i])
         scores.append(F.col("ll")[i] + cues + F.log(F.greatest(host, F.lit(1e-12))))
     posterior = fused.withColumn("q", _softmax(F.array(*scores)))
     names = F.array(*map(F.lit, langs))
