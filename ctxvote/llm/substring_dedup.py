@@ -7,15 +7,16 @@ these strings without moving every suffix:
    smallest hash is its anchor, so equal strings have equal anchors at equal places.  A batch sends each distinct
    anchor hash once to the bucket of its hash; anchors of one document only cannot lie in a repeat.
 2. A batch sends each distinct neighbourhood (the bytes that strings around the anchor can reach) of its other
-   anchors once, with the smallest document id that has it, to the bucket of the anchor.
-3. A bucket refines: neighbourhoods fall into initial buckets by their anchor `Q`-gram; bucket numbers are refined
-   by sorting pairs (bucket, next word), word after word to the right and then, from the anchor again, to the left,
-   each pass sorting on the numbers of the last; what stands alone drops out.  The longest common extensions of
-   neighbours in the final orders give the bucket of every shorter extension without further sorting.  A string
-   is a pair (left bucket, right bucket): those whose smallest document is another one are repeats.
+   anchors once, with the smallest document id that has it, to the bucket of the anchor.  Where they occur stays
+   behind with the batch.
+3. A bucket refines the suffixes of its neighbourhoods.  They fall into initial buckets by their first `STEP` bytes;
+   then a suffix is sorted on the pair (its bucket number, the bucket number of the suffix `STEP` bytes later), which
+   gives the buckets of twice as many bytes, and these numbers are reused in the same way, recursively, until they
+   stand for `LENGTH` bytes.  No byte is looked at again after the initial buckets.  Neighbourhoods whose anchor stands
+   alone drop out before.  In a final bucket, strings whose smallest document is another one are repeats.
 4. The repeats go back to their batches, which cut them from the texts.
 
-Everything sent is bounded by a batch per hot string, since a batch speaks once for all its copies.
+What is sent is bounded by a batch per hot string, since a batch speaks once for all its copies.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ _SIDE = LENGTH - Q  # bytes that a string can reach beyond its anchor on either
 _REACH = 2 * _SIDE + Q
 _SEGMENT = 1 << 17
 
+#: Bytes that the initial buckets stand for; neighbourhoods that are refined at once, cut between anchors.
+STEP = 8
+_AT_ONCE = 1 << 14
+
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     """The smallest (or largest) of each `width` neighbours, by doubling."""
@@ -160,6 +165,17 @@ def _send_anchors(n: int):
     return run
 
 
+def _by_bucket(work):
+    """Applies `work` to the rows of each task as one table: a task has one bucket."""
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            yield from work(pa.Table.from_batches(batches).combine_chunks()).to_batches()
+
+    return run
+
+
 def _match_anchors(table: pa.Table) -> pa.Table:
     """Which hashes of each batch another batch has too, as bits."""
     raw = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in table.column("hashes").to_pylist()]
@@ -178,12 +194,13 @@ def _send_neighbourhoods(n: int):
             for batch, packed, found in zip(*(b.column(c).to_pylist() for c in ("batch", "packed", "found")), strict=True):
                 rows = _neighbourhoods(_Batch(packed), batch, {x["bucket"]: x["bits"] for x in found}, n)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "batch", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "payload", "places"])
 
     return run
 
 
-def _neighbourhoods(own: _Batch, batch: int, bits: dict[int, bytes], n: int) -> list[tuple[int, int, bytes]]:
+def _neighbourhoods(own: _Batch, batch: int, bits: dict[int, bytes], n: int) -> list[tuple[int, int, bytes, bytes]]:
+    """For each bucket, the distinct neighbourhoods with their smallest ids, and the places where they occur."""
     own.anchors()
     if not len(own.at):
         return []
@@ -218,97 +235,98 @@ def _neighbourhoods(own: _Batch, batch: int, bits: dict[int, bytes], n: int) ->
         number[which] = np.arange(len(which))
         occ = occurrences[np.searchsorted(occurrence_bucket, k) : np.searchsorted(occurrence_bucket, k, "right")]
         later = ids[occ] > smallest[of[occ]]
-        out.append((int(k), batch, _pack(rows[first[which]].ravel(), smallest[which], at[occ].astype(np.uint32) if len(own.text) < 1 << 32 else at[occ], number[of[occ]].astype(np.uint32), later.astype(np.uint8))))
+        places = at[occ].astype(np.uint32) if len(own.text) < 1 << 32 else at[occ]
+        out.append((int(k), batch, _pack(rows[first[which]].ravel(), smallest[which]), _pack(places, number[of[occ]].astype(np.uint32), later.astype(np.uint8))))
     return out
 
 
 def _row_keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of bytes as numbers: equal rows, and only those, are equal.  Refines 8 bytes at a time."""
+    """Rows of bytes as numbers: equal rows, and only those, are equal."""
     padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
     padded[:, : rows.shape[1]] = rows
-    words = padded.view(np.uint64)
     key = np.zeros(len(rows), np.int64)
-    for k in range(words.shape[1]):
-        key = refine(key, words[:, k])[0]
+    for word in padded.view(np.uint64).T:
+        key = refine(key, word)
     return key
 
 
-def refine(bucket: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers refined by a word each: (numbers in the order of (bucket, word), that order)."""
-    order = np.lexsort((word, bucket))
-    b, w = bucket[order], word[order]
+def refine(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Bucket numbers refined by sorting on (bucket, what stands later): equal pairs, and only those, share a number."""
+    order = np.lexsort((later, bucket))
+    b, w = bucket[order], later[order]
     new = np.empty(len(order), np.int64)
     new[order] = np.cumsum(np.concatenate([[0], (b[1:] != b[:-1]) | (w[1:] != w[:-1])]))[: len(order)] if len(order) else 0
-    return new, order
-
+    return new
 
-def _words(rows: np.ndarray) -> np.ndarray:
-    """Rows of bytes as big-endian words, so that their order is that of the bytes."""
-    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
-    padded[:, : rows.shape[1]] = rows
-    return padded.view(">u8").astype(np.uint64)
 
+def suffix_buckets(text: np.ndarray, length: int) -> np.ndarray:
+    """Bucket numbers of the strings of `length` bytes from each place of each row on, by bucket-pointer refinement.
 
-def _extension_order(anchor: np.ndarray, side: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, shared): rows sorted by anchor bucket and the bytes of a side; how many bytes each shares with the one
-    before it in that order, -1 where the anchors differ."""
-    bucket, words = anchor, _words(side)
-    for k in range(words.shape[1]):
-        bucket, _ = refine(bucket, words[:, k])
-    order = np.lexsort((valid, bucket))  # where bytes end, zeros stand: the shorter goes first
-    a, b = order[:-1], order[1:]
-    differ = side[a] != side[b]
-    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), side.shape[1])
-    shared = np.minimum(shared, np.minimum(valid[a], valid[b]))
-    shared[anchor[a] != anchor[b]] = -1
-    return order, np.concatenate([[-1], shared])
+    `text` has rows of equal size.  The number of a place is refined by that of a later place of its row, whose own
+    number is the result of the step before.
+    """
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, STEP, axis=1)).view(np.uint64)[:, :, 0]
+    bucket = np.unique(words, return_inverse=True)[1].reshape(words.shape)  # the initial buckets
+    done = STEP
+    while done < length:
+        offset = min(done, length - done)  # the last step overlaps the one before
+        width = text.shape[1] - (done + offset) + 1
+        pair = bucket[:, :width] * np.int64(bucket.max() + 1) + bucket[:, offset : offset + width]
+        bucket = np.unique(pair, return_inverse=True)[1].reshape(pair.shape)
+        done += offset
+    return bucket
 
 
 def repeat_masks(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each neighbourhood, bit a: the string that starts a bytes before the anchor is in one with a smaller id."""
-    by_id = np.argsort(ids, kind="stable")
-    rows, ids_sorted = rows[by_id], ids[by_id]
-    left, right = rows[:, _REACH].astype(np.int64), rows[:, _REACH + 1].astype(np.int64)
-    anchor = np.zeros(len(rows), np.int64)
-    for word in _words(rows[:, _SIDE : _SIDE + Q]).T:  # the initial buckets
-        anchor, _ = refine(anchor, word)
-    to_left, shared_left = _extension_order(anchor, np.ascontiguousarray(rows[:, _SIDE - 1 :: -1][:, :_SIDE]), left)
-    to_right, shared_right = _extension_order(anchor, rows[:, _SIDE + Q : _REACH], right)
-    masks, n = np.zeros(len(rows), np.uint64), len(rows)
-    left_bucket, right_bucket = np.empty(n, np.int64), np.empty(n, np.int64)
-    for a in range(_SIDE + 1):
-        left_bucket[to_left] = np.cumsum(shared_left < a)
-        right_bucket[to_right] = np.cumsum(shared_right < _SIDE - a)
-        here = np.flatnonzero((left >= a) & (right >= _SIDE - a))
-        if len(here) < 2:
-            continue
-        string = left_bucket[here] * (n + 1) + right_bucket[here]
-        order = np.argsort(string, kind="stable")  # within a string, ids ascend
-        s = string[order]
-        first = np.concatenate([[True], s[1:] != s[:-1]])
-        smallest = ids_sorted[here[order]][first][np.cumsum(first) - 1]
-        again = here[order][ids_sorted[here[order]] > smallest]
-        masks[again] |= np.uint64(1 << a)
-    out = np.empty(n, np.uint64)
-    out[by_id] = masks
-    return out
+    masks = np.zeros(len(rows), np.uint64)
+    anchor = _row_keys(np.ascontiguousarray(rows[:, _SIDE : _SIDE + Q]))
+    order = np.argsort(anchor, kind="stable")
+    sizes = np.bincount(anchor)
+    order = order[sizes[anchor[order]] > 1]
+    starts = np.flatnonzero(np.diff(anchor[order], prepend=-1))
+    first = 0
+    while first < len(order):  # whole anchors, about `_AT_ONCE` neighbourhoods
+        k = np.searchsorted(starts, first + _AT_ONCE)
+        last = starts[k] if k < len(starts) else len(order)
+        some = order[first:last]
+        some = some[np.argsort(ids[some], kind="stable")]
+        masks[some] = _refined(rows[some], ids[some])
+        first = int(last)
+    return masks
+
+
+def _refined(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """`repeat_masks` of neighbourhoods with ascending ids."""
+    left, right = rows[:, _REACH].astype(np.int64)[:, None], rows[:, _REACH + 1].astype(np.int64)[:, None]
+    before = _SIDE - np.arange(_SIDE + 1)  # of a string that starts at a place: its bytes before the anchor
+    whole = (left >= before) & (right >= _SIDE - before)
+    bucket = suffix_buckets(rows[:, :_REACH], LENGTH)[whole]
+    of, a = np.nonzero(whole)
+    order = np.argsort(bucket, kind="stable")  # within a bucket, ids ascend
+    b, doc = bucket[order], ids[of[order]]
+    first = np.concatenate([[True], b[1:] != b[:-1]])[: len(b)]
+    again = order[doc > doc[first][np.cumsum(first) - 1]] if len(b) else order
+    masks = np.zeros((len(rows), _SIDE + 1), bool)
+    masks[of[again], before[a[again]]] = True
+    return (masks.astype(np.uint64) << np.arange(_SIDE + 1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def _refine_bucket(table: pa.Table) -> pa.Table:
+    """The masks of each batch's neighbourhoods."""
     parts = [_unpack(x) for x in table.column("payload").to_pylist()]
-    rows = np.concatenate([p[0].reshape(-1, _REACH + 2) for p in parts])
-    masks = repeat_masks(rows, np.concatenate([p[1] for p in parts]))
-    # Occurrences in a document behind the smallest of their own batch repeat it in full.
+    masks = repeat_masks(np.concatenate([p[0].reshape(-1, _REACH + 2) for p in parts]), np.concatenate([p[1] for p in parts]))
+    rows = [p[0].reshape(-1, _REACH + 2) for p in parts]
+    ends = np.cumsum([len(p[1]) for p in parts])
+    out = [_pack(masks[e - len(r) : e], _whole(r)) for e, r in zip(ends, rows, strict=True)]
+    return pa.table([table.column("batch"), table.column("bucket"), pa.array(out, pa.binary())], names=["batch", "bucket", "masks"])
+
+
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """The masks of all strings that a neighbourhood holds whole."""
     a = np.arange(_SIDE + 1, dtype=np.int64)
     whole = (rows[:, _REACH, None] >= a) & (rows[:, _REACH + 1, None] >= _SIDE - a)
-    whole = (whole.astype(np.uint64) << a.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
-    out, start = [], 0
-    for _, smallest, at, of, later in parts:
-        mask = np.where(later == 1, whole[start + of], masks[start + of])
-        hit = mask != 0
-        out.append(_pack(at[hit], mask[hit]) if hit.any() else None)
-        start += len(smallest)
-    return pa.table([table.column("batch"), pa.array(out, pa.binary())], names=["batch", "hits"])
+    return (whole.astype(np.uint64) << a.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def _cut_batches(batches):
@@ -316,9 +334,11 @@ def _cut_batches(batches):
         for packed, found in zip(b.column("packed").to_pylist(), b.column("found").to_pylist(), strict=True):
             own = _Batch(packed)
             edge = np.zeros(len(own.text) + 1, np.int32)
-            for hits in found or []:
-                at, mask = _unpack(hits)
-                at = at.astype(np.int64)
+            for x in found or []:
+                (at, of, later), (masks, whole) = _unpack(x["places"]), _unpack(x["masks"])
+                # Occurrences in a document behind the smallest of their own batch repeat their neighbourhood in full.
+                mask = np.where(later == 1, whole[of], masks[of])
+                at, mask = at[mask != 0].astype(np.int64), mask[mask != 0]
                 for a in range(_SIDE + 1):
                     here = at[(mask >> np.uint64(a) & np.uint64(1)).astype(bool)] - a
                     np.add.at(edge, here, 1)
@@ -353,9 +373,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = max(partitions_of(spark), -(-total // BUCKET_BYTES))
     batches = stored.select("batch", "packed")
     sent = batches.mapInArrow(_send_anchors(n), "bucket long, batch long, hashes binary")
-    bits = sent.groupBy("bucket").applyInArrow(_match_anchors, "bucket long, batch long, bits binary")
+    bits = _in_buckets(sent, n).mapInArrow(_by_bucket(_match_anchors), "bucket long, batch long, bits binary")
     bits = bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))  # a bit per anchor of a batch
-    sent = batches.join(bits, "batch").mapInArrow(_send_neighbourhoods(n), "bucket long, batch long, payload binary")
-    hits = sent.groupBy("bucket").applyInArrow(_refine_bucket, "batch long, hits binary")
-    hits = hits.where("hits is not null").groupBy("batch").agg(F.collect_list("hits").alias("found"))
+    sent = cut(batches.join(bits, "batch").mapInArrow(_send_neighbourhoods(n), "bucket long, batch long, payload binary, places binary"))
+    masks = _in_buckets(sent.drop("places"), n).mapInArrow(_by_bucket(_refine_bucket), "batch long, bucket long, masks binary")
+    hits = sent.drop("payload").join(masks, ["batch", "bucket"])
+    hits = hits.groupBy("batch").agg(F.collect_list(F.struct("places", "masks")).alias("found"))  # a batch's own anchors
     return batches.join(hits, "batch", "left").mapInArrow(_cut_batches, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+def _in_buckets(sent: DataFrame, n: int) -> DataFrame:
+    """One bucket a task."""
+    return sent.repartitionById(n, F.col("bucket").cast("int"))

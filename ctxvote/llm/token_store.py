@@ -174,20 +174,17 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "doc_id", "n_tokens", "digests", "lengths", "root", "pack"])
 
     def unique(batches):
-        """Chunks of a bucket once each, recipes as they are; rows come by bucket, so that only a bucket's digests are held."""
+        """Chunks of a bucket once each, recipes as they are; a task has one bucket, so only its digests are held."""
         import zstandard
 
-        z, at_bucket, seen = zstandard.ZstdDecompressor(), None, set()
+        z, seen = zstandard.ZstdDecompressor(), set()
         for batch in batches:
             recipes = batch.filter(pa.compute.is_null(batch.column("pack")))
             if recipes.num_rows:
                 none = [pa.nulls(recipes.num_rows, t) for t in (pa.binary(), pa.binary(), pa.int32(), pa.int32())]
                 kind = pa.array(["recipe"] * recipes.num_rows)
                 yield pa.RecordBatch.from_arrays([kind, *[recipes.column(c) for c in ("doc_id", "n_tokens", "digests", "lengths", "root")], *none], _STAGED)
-            packs = batch.filter(pa.compute.is_valid(batch.column("pack")))
-            for bucket, packed in zip(packs.column("bucket").to_pylist(), packs.column("pack"), strict=True):
-                if bucket != at_bucket:
-                    at_bucket, seen = bucket, set()
+            for packed in batch.column("pack").drop_null():
                 pack = z.decompress(packed.as_py())
                 count = int(np.frombuffer(pack, "<u4", 1)[0])
                 at, rows = 4 + 40 * count, []
@@ -204,7 +201,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
                     yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * len(rows)), *none, *made], _STAGED)
 
     rows = own.mapInArrow(encode, "bucket long, doc_id long, n_tokens long, digests binary, lengths binary, root binary, pack binary")
-    staged = rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+    staged = rows.repartitionById(n, F.col("bucket").cast("int"))
     staged = staged.mapInArrow(unique, "kind string, doc_id long, n_tokens long, digests binary, lengths binary, root binary, digest binary, ids binary, width int, n_ids int")
     staged.write.partitionBy("kind").parquet(f"{path}/staged")
     _order_recipes(spark, path, n)

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from ctxvote.llm.substring_dedup import LENGTH, remove_repeats
+from ctxvote.llm import substring_dedup
+from ctxvote.llm.substring_dedup import LENGTH, remove_repeats, suffix_buckets
 
 
 def brute(rows):
@@ -58,3 +59,25 @@ def test_long_text_and_empty_table(spark):
     got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.spans]) for r in remove_repeats(df).collect()}
     assert got == {1: (400_000, []), 2: (299_002, [(1, 299_001)])}
     assert remove_repeats(df.limit(0)).collect() == []
+
+
+def test_refined_buckets_are_those_of_whole_strings():
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 99, (40, 84)).astype(np.uint8)
+    text[20:] = text[:20]
+    text[20:, 40] ^= 1
+    for length in (8, 16, 17, 32, 50, 64):
+        got = suffix_buckets(text, length)
+        strings = {}
+        for r in range(40):
+            for p in range(84 - length + 1):
+                strings.setdefault(bytes(text[r, p : p + length]), set()).add(int(got[r, p]))
+        assert all(len(x) == 1 for x in strings.values()) and len(set.union(*strings.values())) == len(strings)
+
+
+def test_anchors_are_refined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_AT_ONCE", 3)
+    rows = corpus(5)
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    got = [(r.doc_id, r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in remove_repeats(df, batch_bytes=900).collect()]
+    assert sorted(got, key=repr) == brute(rows)
