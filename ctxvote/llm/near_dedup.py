@@ -392,9 +392,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = nodes.join(roots, "node", "left").select("key1", "key2", F.coalesce("root", "node").alias("root"))
     labelled = signed.select("row", "doc_id", "text_key", "n_words", "key1", "key2").join(found, ["key1", "key2"], "left")
     # A row without words has no node and is its own class.
-    labelled = labelled.select("row", "doc_id", "text_key", F.when(F.col("n_words") > 0, F.col("root")).otherwise(F.col("row")).alias("root"))
+    labelled = cut(labelled.select("row", "doc_id", "text_key", F.when(F.col("n_words") > 0, F.col("root")).otherwise(F.col("row")).alias("root")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    classes = labelled.groupBy("root").agg(first, F.count(F.lit(1)).alias("class_size"))
+    # Stored, so that the join is of two plain shuffles and the rows of a giant class may be split among tasks.
+    classes = cut(labelled.groupBy("root").agg(first, F.count(F.lit(1)).alias("class_size")))
     out = labelled.join(classes, "root")
     return out.select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
