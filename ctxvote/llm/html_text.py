@@ -184,11 +184,8 @@ class Subtree:
 
 
 def _hash(*parts: str | bytes) -> bytes:
-    h = hashlib.blake2b(digest_size=8)
-    for x in parts:
-        h.update(x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass"))
-        h.update(b"\xff")
-    return h.digest()
+    joined = b"\xff".join([x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass") for x in parts])
+    return hashlib.blake2b(joined, digest_size=8).digest()
 
 
 def _number(digest: bytes) -> int:

@@ -21,6 +21,8 @@ What is sent is bounded by a batch per hot string, since a batch speaks once for
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -192,18 +194,30 @@ def _send_neighbourhoods(n: int):
     def run(batches):
         for b in batches:
             for batch, packed, found in zip(*(b.column(c).to_pylist() for c in ("batch", "packed", "found")), strict=True):
-                rows = _neighbourhoods(_Batch(packed), batch, {x["bucket"]: x["bits"] for x in found}, n)
+                rows = [(k, batch, _pack(x.rows.ravel(), x.smallest)) for k, x in _neighbourhoods(_Batch(packed), found, n)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "payload", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "batch", "payload"])
 
     return run
 
 
-def _neighbourhoods(own: _Batch, batch: int, bits: dict[int, bytes], n: int) -> list[tuple[int, int, bytes, bytes]]:
-    """For each bucket, the distinct neighbourhoods with their smallest ids, and the places where they occur."""
+@dataclass
+class _Found:
+    """A batch's neighbourhoods in a bucket: the distinct ones, with the smallest id of each, and where they occur."""
+
+    rows: np.ndarray
+    smallest: np.ndarray
+    at: np.ndarray  # places of the anchors of occurrences
+    of: np.ndarray  # their neighbourhoods
+    later: np.ndarray  # whether they stand in a document behind the smallest
+
+
+def _neighbourhoods(own: _Batch, found: list, n: int) -> list[tuple[int, _Found]]:
+    """The neighbourhoods of a batch by bucket; the same whenever the batch and `found` are."""
     own.anchors()
     if not len(own.at):
         return []
+    bits = {x["bucket"]: x["bits"] for x in found}
     shared = np.zeros(len(own.distinct), bool)
     for k, which in own.buckets(n):
         shared[which] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=len(which)).astype(bool)
@@ -235,8 +249,7 @@ def _neighbourhoods(own: _Batch, batch: int, bits: dict[int, bytes], n: int) ->
         number[which] = np.arange(len(which))
         occ = occurrences[np.searchsorted(occurrence_bucket, k) : np.searchsorted(occurrence_bucket, k, "right")]
         later = ids[occ] > smallest[of[occ]]
-        places = at[occ].astype(np.uint32) if len(own.text) < 1 << 32 else at[occ]
-        out.append((int(k), batch, _pack(rows[first[which]].ravel(), smallest[which]), _pack(places, number[of[occ]].astype(np.uint32), later.astype(np.uint8))))
+        out.append((int(k), _Found(rows[first[which]], smallest[which], at[occ], number[of[occ]], later)))
     return out
 
 
@@ -316,9 +329,8 @@ def _refine_bucket(table: pa.Table) -> pa.Table:
     """The masks of each batch's neighbourhoods."""
     parts = [_unpack(x) for x in table.column("payload").to_pylist()]
     masks = repeat_masks(np.concatenate([p[0].reshape(-1, _REACH + 2) for p in parts]), np.concatenate([p[1] for p in parts]))
-    rows = [p[0].reshape(-1, _REACH + 2) for p in parts]
-    ends = np.cumsum([len(p[1]) for p in parts])
-    out = [_pack(masks[e - len(r) : e], _whole(r)) for e, r in zip(ends, rows, strict=True)]
+    sizes = [len(p[1]) for p in parts]
+    out = [_pack(masks[e - n : e]) for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
     return pa.table([table.column("batch"), table.column("bucket"), pa.array(out, pa.binary())], names=["batch", "bucket", "masks"])
 
 
@@ -329,33 +341,39 @@ def _whole(rows: np.ndarray) -> np.ndarray:
     return (whole.astype(np.uint64) << a.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def _cut_batches(batches):
-    for b in batches:
-        for packed, found in zip(b.column("packed").to_pylist(), b.column("found").to_pylist(), strict=True):
-            own = _Batch(packed)
-            edge = np.zeros(len(own.text) + 1, np.int32)
-            for x in found or []:
-                (at, of, later), (masks, whole) = _unpack(x["places"]), _unpack(x["masks"])
-                # Occurrences in a document behind the smallest of their own batch repeat their neighbourhood in full.
-                mask = np.where(later == 1, whole[of], masks[of])
-                at, mask = at[mask != 0].astype(np.int64), mask[mask != 0]
-                for a in range(_SIDE + 1):
-                    here = at[(mask >> np.uint64(a) & np.uint64(1)).astype(bool)] - a
-                    np.add.at(edge, here, 1)
-                    np.add.at(edge, here + LENGTH, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            spans, kept = [], []
-            for s, n in zip(own.starts.tolist(), own.lengths.tolist(), strict=False):
-                here = gone[s : s + n]
-                if not here.any():
-                    spans.append([])
-                    kept.append(own.text[s : s + n].tobytes())
-                    continue
-                change = np.flatnonzero(np.diff(here.astype(np.int8), prepend=0, append=0))
-                spans.append([{"start": x, "end": y} for x, y in zip(change[::2].tolist(), change[1::2].tolist(), strict=True)])
-                kept.append(own.text[s : s + n][~here].tobytes())
-            ids = pa.array([None if x == _NO_ID else x for x in own.ids.tolist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(own.lengths), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+def _cut_batches(n: int):
+    def run(batches):
+        for b in batches:
+            for packed, found, masks in zip(*(b.column(c).to_pylist() for c in ("packed", "found", "masks")), strict=True):
+                yield _cut_batch(_Batch(packed), found, {x["bucket"]: x["masks"] for x in masks or []}, n)
+
+    return run
+
+
+def _cut_batch(own: _Batch, found: list | None, masks: dict[int, bytes], n: int) -> pa.RecordBatch:
+    """The texts of a batch without what `masks` mark, whose numbers are those of its neighbourhoods by bucket."""
+    edge = np.zeros(len(own.text) + 1, np.int32)
+    for k, x in _neighbourhoods(own, found, n) if masks else []:
+        # Occurrences in a document behind the smallest of their own batch repeat their neighbourhood in full.
+        mask = np.where(x.later, _whole(x.rows)[x.of], _unpack(masks[k])[0][x.of])
+        at, mask = x.at[mask != 0], mask[mask != 0]
+        for a in range(_SIDE + 1):
+            here = at[(mask >> np.uint64(a) & np.uint64(1)).astype(bool)] - a
+            np.add.at(edge, here, 1)
+            np.add.at(edge, here + LENGTH, -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    spans, kept = [], []
+    for s, size in zip(own.starts.tolist(), own.lengths.tolist(), strict=False):
+        here = gone[s : s + size]
+        if not here.any():
+            spans.append([])
+            kept.append(own.text[s : s + size].tobytes())
+            continue
+        change = np.flatnonzero(np.diff(here.astype(np.int8), prepend=0, append=0))
+        spans.append([{"start": x, "end": y} for x, y in zip(change[::2].tolist(), change[1::2].tolist(), strict=True)])
+        kept.append(own.text[s : s + size][~here].tobytes())
+    ids = pa.array([None if x == _NO_ID else x for x in own.ids.tolist()], pa.int64())
+    return pa.RecordBatch.from_arrays([ids, pa.array(own.lengths), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -374,12 +392,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     batches = stored.select("batch", "packed")
     sent = batches.mapInArrow(_send_anchors(n), "bucket long, batch long, hashes binary")
     bits = _in_buckets(sent, n).mapInArrow(_by_bucket(_match_anchors), "bucket long, batch long, bits binary")
-    bits = bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))  # a bit per anchor of a batch
-    sent = cut(batches.join(bits, "batch").mapInArrow(_send_neighbourhoods(n), "bucket long, batch long, payload binary, places binary"))
-    masks = _in_buckets(sent.drop("places"), n).mapInArrow(_by_bucket(_refine_bucket), "batch long, bucket long, masks binary")
-    hits = sent.drop("payload").join(masks, ["batch", "bucket"])
-    hits = hits.groupBy("batch").agg(F.collect_list(F.struct("places", "masks")).alias("found"))  # a batch's own anchors
-    return batches.join(hits, "batch", "left").mapInArrow(_cut_batches, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    bits = cut(bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("found")))  # a bit per anchor of a batch
+    sent = batches.join(bits, "batch").mapInArrow(_send_neighbourhoods(n), "bucket long, batch long, payload binary")
+    masks = _in_buckets(sent, n).mapInArrow(_by_bucket(_refine_bucket), "batch long, bucket long, masks binary")
+    masks = masks.groupBy("batch").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks"))  # a mask per neighbourhood of a batch
+    # A batch finds its neighbourhoods again: that costs less than to keep or to move where they occur.
+    whole = batches.join(bits, "batch", "left").join(masks, "batch", "left")
+    return whole.mapInArrow(_cut_batches(n), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def _in_buckets(sent: DataFrame, n: int) -> DataFrame:
