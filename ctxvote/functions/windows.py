@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,25 +18,36 @@ SIZES = (48, 12, 8, 4, 2)
 BLOCK = 1024
 
 
+def _joined(tokens: Column) -> Column:
+    """Tokens with the byte FF between any two: it begins no UTF-8 character, so they cannot be confused."""
+    return F.call_function("array_join", tokens, F.lit(b"\xff").cast("string"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def span_names(span: Column) -> Column:
     """The marked tokens of a span that are renamed, in order of first appearance."""
-    return F.array_distinct(F.filter(span, lambda t: is_marked(t) & (F.octet_length(t) > 4)))
+    return F.array_distinct(F.filter(span, lambda t: t.startswith("@@") & is_marked(t) & (F.octet_length(t) > 4)))
 
 
-def span_hash(span: Column, discriminator: Column, found: Column | None = None) -> Column:
+def span_hash(span: Column, discriminator: Column) -> Column:
     """T-6: 24 hexadecimal digits of SHA-256 over the span and its discriminator.
 
     Tokens are joined by the byte FF.  Marked tokens are renamed in order of first appearance within the span, so
-    contexts that differ in names only are equal.  `found` is a column with `span_names` of the span: as a column it
-    is computed once, not once for each token.
+    contexts that differ in names only are equal.
     """
-    found = span_names(span) if found is None else found
-    renamed = F.transform(span, lambda t: F.when(F.array_contains(found, t), F.concat(F.lit("@@var_"), (F.array_position(found, t) - 1).cast("string"), F.lit("@@"))).otherwise(t))
-    renamed = F.when(F.size(found) > 0, renamed).otherwise(span)
-    # FF begins no UTF-8 character, so the join is of bytes.
-    joined = F.aggregate(renamed, F.lit(b""), lambda a, t: F.concat(a, F.lit(b"\xff"), F.encode(t, "UTF-8")))
-    whole = F.concat(F.substring(joined, 2, 2**31 - 1), F.encode(discriminator, "UTF-8"))
-    return F.substring(F.sha2(whole, 256), 1, 24)
+
+    def hashed(found: Column) -> Column:
+        number = lambda t: F.array_position(found, t)
+        rename = lambda t: F.when(t.startswith("@@") & (number(t) > 0), F.concat(F.lit("@@var_"), (number(t) - 1).cast("string"), F.lit("@@"))).otherwise(t)
+        tokens = F.when(F.size(found) > 0, F.transform(span, rename)).otherwise(span)
+        whole = F.concat(_joined(tokens), discriminator).cast("binary")
+        return F.substring(F.sha2(whole, 256), 1, 24)
+
+    return let(span_names(span), hashed)
 
 
 def _masked_left(span: Column, n: int) -> Column:
@@ -49,44 +62,49 @@ def _masked_right(span: Column) -> Column:
     return F.when(first > 0, F.transform(span, lambda t, i: F.when(i >= first - 1, PAD).otherwise(t))).otherwise(span)
 
 
-def context_windows(entries: DataFrame, sizes=SIZES, flanking: bool = True, full_strip: bool = False, keep: tuple[str, ...] = (), spans: bool = False) -> DataFrame:
+def context_windows(entries: DataFrame, sizes=SIZES, flanking: bool = True, full_strip: bool = False, keep: tuple[str, ...] = (), spans: bool = False, attach: Callable[[Column], Column] | None = None, attach_from: tuple[str, ...] = ()) -> DataFrame:
     """T-5: one row for each target occurrence, size and side: `entry_id, *keep, pos, var, kind, n, flank, hash`.
 
     `entries(entry_id, tokens, ...)`.  Flanking windows are the n tokens left (`flank` false) and right (true) of
     the target; centred ones (flank null) hold 2n + 1 tokens with the target.  Windows are padded at the ends of
     the sequence and at segment borders.  Everything happens inside one row: spans are hashed before they are
-    exploded and never shuffled.  With `spans` the tokens come along, for inspection.
+    exploded and never shuffled.  With `spans` the tokens come along, for inspection.  `attach` makes a value
+    `attached` of a target's name from the entry's columns `attach_from`; targets for which it is null have no windows.
     """
     widest = max(sizes)
     pad = F.array_repeat(F.lit(PAD), widest)
     # Normalisation keeps segment borders, whatever it makes of other tokens.
     stripped = F.zip_with("tokens", strip_tokens(F.col("tokens"), full_strip), lambda t, s: F.when(t == SEGMENT, t).otherwise(s))
-    df = entries.select("entry_id", *keep, "tokens", F.concat(pad, stripped, pad).alias("_padded"))
+    df = entries.select("entry_id", *keep, *attach_from, "tokens", F.concat(pad, stripped, pad).alias("_padded"))
     # Blocks of the sequence with as much on either side as the widest window reaches.
     blocks = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / BLOCK).cast("int"))
     block = lambda b: F.struct((b * BLOCK).alias("at"), F.slice("tokens", b * BLOCK + 1, F.lit(BLOCK)).alias("tokens"), F.slice("_padded", b * BLOCK + 1, F.lit(BLOCK + 2 * widest)).alias("padded"))
-    df = df.where(F.size("tokens") > 0).select("entry_id", *keep, F.explode(F.transform(blocks, block)).alias("_b"))
-    targets = F.filter(F.transform("_b.tokens", lambda t, i: F.struct(i.alias("i"), t.alias("token"))), lambda x: is_marked(x["token"]))
-    df = df.select("entry_id", *keep, F.col("_b.at").alias("_at"), F.col("_b.padded").alias("_padded"), targets.alias("_targets"))
-    df = df.withColumn("_borders", F.array_contains("_padded", SEGMENT))
-
-    def spans_of(target: Column) -> Column:
-        var, at = name_of(target["token"]), target["i"] + widest
-        made = []
+    df = df.where(F.size("tokens") > 0).select("entry_id", *keep, *attach_from, F.explode(F.transform(blocks, block)).alias("_b"))
+    df = df.withColumn("_borders", F.array_contains("_b.padded", SEGMENT))
+    targets = F.filter(F.transform("_b.tokens", lambda t, i: F.struct(i.alias("i"), t.alias("token"))), lambda x: x["token"].startswith("@@") & is_marked(x["token"]))
+    named = lambda x: F.struct(x["i"].alias("i"), name_of(x["token"]).alias("var"), *([attach(name_of(x["token"])).alias("attached")] if attach is not None else []))
+    targets = F.transform(targets, named)
+    if attach is not None:
+        targets = F.filter(targets, lambda x: x["attached"].isNotNull())
+
+    def windows_of(target: Column) -> Column:
+        at, made = target["i"] + widest, []
+        short = F.when(kind_of(target["var"]) == "function", "fn").otherwise("var")
         for n in sizes:
-            left, right = F.slice("_padded", at - n + 1, F.lit(n)), F.slice("_padded", at + 2, F.lit(n))
+            left, right = F.slice("_b.padded", at - n + 1, F.lit(n)), F.slice("_b.padded", at + 2, F.lit(n))
             left = F.when(F.col("_borders"), _masked_left(left, n)).otherwise(left)
             right = F.when(F.col("_borders"), _masked_right(right)).otherwise(right)
-            sides = [(False, left), (True, right)] if flanking else [(None, F.concat(left, F.slice("_padded", at + 1, F.lit(1)), right))]
-            made += [F.struct((F.col("_at") + target["i"]).alias("pos"), var.alias("var"), F.lit(n).alias("n"), F.lit(side).cast("boolean").alias("flank"), span.alias("span")) for side, span in sides]
-        return F.array(*made)
-
-    df = df.select("entry_id", *keep, F.explode(F.flatten(F.transform("_targets", spans_of))).alias("_w")).select("entry_id", *keep, "_w.*")
-    df = df.withColumn("kind", kind_of(F.col("var"))).withColumn("_names", span_names(F.col("span")))
-    short = F.when(F.col("kind") == "function", "fn").otherwise("var")
-    side = F.when(F.col("flank"), F.lit("right_")).when(~F.col("flank"), F.lit("left_")).otherwise("")
-    hashed = span_hash(F.col("span"), F.concat(side, short), F.col("_names"))
-    return df.select("entry_id", *keep, "pos", "var", "kind", "n", "flank", hashed.alias("hash"), *(["span"] if spans else []))
+            sides = [(False, "left_", left), (True, "right_", right)] if flanking else [(None, "", F.concat(left, F.slice("_b.padded", at + 1, F.lit(1)), right))]
+            for flank, side, span in sides:
+                fixed = [F.lit(n).alias("n"), F.lit(flank).cast("boolean").alias("flank")]
+                made.append(let(span, lambda x: F.struct(*fixed, span_hash(x, F.concat(F.lit(side), short)).alias("hash"), *([x.alias("span")] if spans else []))))  # noqa: B023
+        attached = [target["attached"].alias("attached")] if attach is not None else []
+        return F.struct((F.col("_b.at") + target["i"]).alias("pos"), target["var"].alias("var"), *attached, F.array(*made).alias("windows"))
+
+    df = df.select("entry_id", *keep, F.explode(F.transform(targets, windows_of)).alias("_t"))
+    own = ["pos", "var", *(["attached"] if attach is not None else [])]
+    df = df.select("entry_id", *keep, *[F.col(f"_t.{c}").alias(c) for c in own], kind_of(F.col("_t.var")).alias("kind"), F.explode("_t.windows").alias("_w"))
+    return df.select("entry_id", *keep, *own, "kind", "_w.n", "_w.flank", "_w.hash", *(["_w.span"] if spans else []))
 
 
 def occurrences(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

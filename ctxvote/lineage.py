@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that spark.checkpoint.dir names; a temporary one only in local mode without it."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only in local mode without it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ctxvote-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared checkpoint folder, its lineage cut there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -89,6 +89,15 @@ def in_list(members: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return members.join(listed.select(key).distinct(), key, "left_semi")
 
 
+def listed_and_sample(members: DataFrame, listed: DataFrame, key: str, add: int, seed: int = 42) -> DataFrame:
+    """F-11, O-9: the members that a list holds and, beyond it, those of `add` sampled keys with a binary's record."""
+    found = in_list(members, listed, key)
+    if add <= 0:
+        return found
+    chosen = sample_unlisted(members.where("kind = 'bins'").select(key), listed, key, add, seed).distinct()
+    return found.unionByName(in_list(members, chosen, key))
+
+
 def sample_unlisted(members: DataFrame, listed: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """O-9: the members of n keys that the list does not hold, chosen by a seeded hash order (a limit that is the feature)."""
     keys = members.select(key).distinct().join(listed.select(key).distinct(), key, "left_anti")

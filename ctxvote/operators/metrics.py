@@ -6,7 +6,7 @@ one conditional aggregation or a small grouped one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, types
@@ -215,3 +215,9 @@ def output_records(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """K-4: written records as JSON lines: var, pred, label, count, layout and the entry's meta."""
     joined = written(rows).join(entries.select("entry_id", "meta"), "entry_id")
     return joined.select(F.to_json(F.struct("var", "pred", "label", "count", "meta", F.col("layout_cat").alias("layout_category"), "layout_match")).alias("value"))
+
+
+def throughput(n_entries: int, inference_seconds: float, total_seconds: float) -> Row:
+    """A-28: milliseconds an entry, entries a second, and the run times of the inference and of everything."""
+    each = 1000.0 * inference_seconds / n_entries if n_entries else 0.0
+    return Row(ms_per_entry=round(each, 2), entries_per_second=round(1000.0 / each, 1) if each else 0.0, inference_seconds=round(inference_seconds, 3), total_seconds=round(total_seconds, 3))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import SIZES, context_windows, occurrences
+from ..functions.windows import SIZES, context_windows, let, occurrences
 
 #: Vocabulary rows that a join may broadcast: labels are short, so that is tens of megabytes at most.
 BROADCAST_LABELS = 500_000
@@ -18,9 +18,10 @@ def _label(labels: str, label_type: str):
 
 def labelled_windows(entries: DataFrame, label_type: str = "type", sizes=SIZES, flanking: bool = True, full_strip: bool = False) -> DataFrame:
     """J-1, F-1, F-3: context windows of targets with a human label, which the entry's own map gives without a join."""
-    windows = context_windows(entries, sizes, flanking, full_strip, keep=("labels",))
-    windows = windows.withColumn("_label", _label("labels", label_type)).where("_label.human")
-    return windows.select("entry_id", "pos", "var", "kind", "n", "flank", "hash", F.col("_label.label").alias("label"))
+    label = lambda var: F.try_element_at(F.try_element_at(F.col("labels"), F.lit(label_type)), var)
+    human = lambda var: let(label(var), lambda found: F.when(found["human"], found["label"]))
+    windows = context_windows(entries, sizes, flanking, full_strip, attach=human, attach_from=("labels",))
+    return windows.select("entry_id", "pos", "var", "kind", "n", "flank", "hash", F.col("attached").alias("label"))
 
 
 def build_vocab(entries: DataFrame, label_type: str = "type") -> DataFrame:

@@ -32,9 +32,10 @@ def votes(solved: DataFrame) -> DataFrame:
     return shares.groupBy("entry_id", "var", "kind", F.col("label").alias("name")).agg(F.sum("p").alias("sum_p"), F.count(F.lit(1)).alias("hits"))
 
 
-def context_counts(solved: DataFrame) -> DataFrame:
-    """A-10: how many contexts of a target the model knew."""
-    return solved.groupBy("entry_id", "var").agg(F.countDistinct("pos", "flank").alias("contexts"))
+def context_counts(windows: DataFrame) -> DataFrame:
+    """A-10: how many contexts a target has, known to a model or not: its places, each with its sides."""
+    places = windows.groupBy("entry_id", "var", "pos", "flank").agg(F.lit(1).alias("_one"))
+    return places.groupBy("entry_id", "var").agg(F.count(F.lit(1)).alias("contexts"))
 
 
 def raw_score() -> Column:
@@ -48,9 +49,10 @@ def scored(votes: DataFrame) -> DataFrame:
     return votes.select("entry_id", "var", "kind", F.row_number().over(order).alias("rank"), F.col("name").alias("pred"), (F.col("sum_p") / F.col("hits")).alias("score"))
 
 
-def one_primitive(ranked: DataFrame) -> DataFrame:
+def one_primitive(ranked: DataFrame, composite: Column | None = None) -> DataFrame:
     """F-5: variables keep composite candidates and their first primitive one; functions keep all."""
-    composite = F.contains("pred", F.lit(COMPOSITE_MARKS[0])) | F.contains("pred", F.lit(COMPOSITE_MARKS[1]))
+    if composite is None:
+        composite = F.contains("pred", F.lit(COMPOSITE_MARKS[0])) | F.contains("pred", F.lit(COMPOSITE_MARKS[1]))
     place = Window.partitionBy("entry_id", "var", "kind").orderBy("rank")
     seen = F.sum(F.when(composite, 0).otherwise(1)).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = ranked.withColumn("_composite", composite).withColumn("_seen", seen)

@@ -26,18 +26,22 @@ def mark_words(words: Column) -> Column:
     return F.transform(words, lambda t: F.when(F.length(t) >= TARGET_LENGTH, F.concat(F.lit("@@"), name(t), F.lit("@@"))).otherwise(t))
 
 
-def made_label(var: Column, lang: Column) -> Column:
-    """A type label that follows from a name and a language: JSON of several categories and plain text."""
+def made_label(var: Column, lang: Column, key: Column) -> Column:
+    """A type label that follows from a name, a language and an entry: JSON of several categories and plain text.
+
+    Structs of one name differ in layout, copies of an entry disagree on some labels, and some labels are unique.
+    """
+    wide = F.when(F.length(var) % 4 == 0, "8").otherwise("4")
     k = (3 * F.length(var) + F.instr(var, "e")) % 8
     function = F.concat(F.lit('{"T": 9, "t": "'), F.when(k < 4, "HAL_").otherwise("run_"), lang, F.lit('"}'))
     forms = [
-        F.concat(F.lit('{"T": 6, "n": "node_'), lang, F.lit('", "l": [{"T": 4, "n": "a", "t": "int", "s": 4}, {"T": 5, "s": 4}, {"T": 4, "n": "p", "t": "char *", "s": 8}], "s": 16}')),
+        F.concat(F.lit('{"T": 6, "n": "node_'), lang, F.lit('", "l": [{"T": 4, "n": "a", "t": "int", "s": '), wide, F.lit('}, {"T": 5, "s": 4}, {"T": 4, "n": "p", "t": "char *", "s": 8}], "s": 16}')),
         F.concat(F.lit('{"T": 3, "t": "const node_'), lang, F.lit('"}')),
         F.concat(F.lit('{"T": 7, "n": "u_'), lang, F.lit('", "l": [{"T": 4, "n": "i", "t": "int", "s": 4}, {"T": 4, "n": "d", "t": "double", "s": 8}]}')),
         F.concat(F.lit('{"T": 2, "n": '), F.length(lang).cast("string"), F.lit(', "s": 4, "t": "int"}')),
         F.lit('{"T": 1, "n": "int", "s": 4}'),
         F.lit('{"T": 10}'),
-        F.lit("ptr<void>"),
+        F.when(F.length(var) % 8 == 2, F.concat(F.lit("ptr<"), var, F.lit(">"))).otherwise(F.concat(F.lit("ptr<v"), (key % 3).cast("string"), F.lit(">"))),
         F.concat(F.lit('{"T": 3, "t": "u_'), lang, F.lit('_0"}')),
     ]
     out = forms[-1]
@@ -52,7 +56,7 @@ def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0))
     df = docs.select(F.col("doc_id").alias("entry_id"), mark_words(words).alias("tokens"), "lang", "source")
     names = F.array_distinct(F.transform(F.filter("tokens", is_marked), name_of))
-    label = lambda v: F.struct((F.length(v) % 7 != 0).alias("human"), made_label(v, F.col("lang")).alias("label"))
+    label = lambda v: F.struct((F.length(v) % 7 != 0).alias("human"), made_label(v, F.col("lang"), F.col("entry_id")).alias("label"))
     labels = F.create_map(F.lit("type"), F.map_from_entries(F.transform(names, lambda v: F.struct(v.alias("key"), label(v).alias("value")))))
     return df.select("entry_id", "tokens", labels.alias("labels"), F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("meta"))
 

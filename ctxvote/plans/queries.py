@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, text, windows
-from ..lineage import shared_table
+from ..lineage import cut, shared_table
 from ..operators import dataset, model, predict
 from . import sql
 from .adapters import conversation_entries, decompiled, document_entries, listings, odd_tokens, part_types, table
@@ -216,7 +216,7 @@ def ngram_counts(spark, sf_dir):
 def ngram_db_all_sizes(spark, sf_dir):
     """A-6, A-7, A-8, J-2, F-14: the model of all sizes in one pass."""
     entries = document_entries(spark, sf_dir)
-    return model.build_model(entries, model.build_vocab(entries))
+    return model.build_model(entries, cut(model.build_vocab(entries)))
 
 
 @query("ngram_topk", sql.chain(*sql.BASE[:2], sql.VOCAB_ALL, sql.counts(False)) + "SELECT n, hash, kind, any_value(total) AS total, string_agg(vocab_id || ':' || count, ',' ORDER BY rank) AS preds FROM model WHERE n = 2 GROUP BY n, hash, kind")
@@ -268,10 +268,11 @@ def context_votes(spark, sf_dir):
     return predict.votes(_solved(spark, sf_dir)).select("entry_id", "var", "kind", "name", F.round("sum_p", 6).alias("sum_p"), "hits")
 
 
-@query("context_counts", sql.chain(*sql.PREDICTED) + "SELECT entry_id, var, count(DISTINCT (pos, flank)) AS contexts FROM solved GROUP BY ALL")
+@query("context_counts", sql.chain(*sql.PREDICTED) + "SELECT entry_id, var, 2 * count(*) AS contexts FROM named JOIN split USING (entry_id) WHERE NOT train GROUP BY ALL")
 def context_counts(spark, sf_dir):
     """A-10."""
-    return predict.context_counts(_solved(spark, sf_dir))
+    _, test, _, _ = trained(spark, sf_dir)
+    return predict.context_counts(windows.context_windows(test, sizes=(2,)))
 
 
 @query("predict_top1", sql.chain(*sql.PREDICTED) + "SELECT s.entry_id, s.var, s.kind, s.pred, t.label, t.n_occurrences AS count, round(s.score, 6) AS score FROM scored s JOIN truth t USING (entry_id, var) WHERE t.human AND s.rank = 1")

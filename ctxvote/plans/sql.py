@@ -38,17 +38,17 @@ def norm(t: str, full: bool = False) -> str:
     return f"({out})"
 
 
-def label(var: str, lang: str) -> str:
-    """The made label of a name and a language."""
+def label(var: str, lang: str, key: str) -> str:
+    """The made label of a name, a language and an entry."""
     k = f"((3 * length({var}) + instr({var}, 'e')) % 8)"
     return f"""CASE WHEN starts_with({var}, 'sub_') THEN '{{"T": 9, "t": "' || CASE WHEN {k} < 4 THEN 'HAL_' ELSE 'run_' END || {lang} || '"}}'
-      WHEN {k} = 0 THEN '{{"T": 6, "n": "node_' || {lang} || '", "l": [{{"T": 4, "n": "a", "t": "int", "s": 4}}, {{"T": 5, "s": 4}}, {{"T": 4, "n": "p", "t": "char *", "s": 8}}], "s": 16}}'
+      WHEN {k} = 0 THEN '{{"T": 6, "n": "node_' || {lang} || '", "l": [{{"T": 4, "n": "a", "t": "int", "s": ' || CASE WHEN length({var}) % 4 = 0 THEN '8' ELSE '4' END || '}}, {{"T": 5, "s": 4}}, {{"T": 4, "n": "p", "t": "char *", "s": 8}}], "s": 16}}'
       WHEN {k} = 1 THEN '{{"T": 3, "t": "const node_' || {lang} || '"}}'
       WHEN {k} = 2 THEN '{{"T": 7, "n": "u_' || {lang} || '", "l": [{{"T": 4, "n": "i", "t": "int", "s": 4}}, {{"T": 4, "n": "d", "t": "double", "s": 8}}]}}'
       WHEN {k} = 3 THEN '{{"T": 2, "n": ' || length({lang}) || ', "s": 4, "t": "int"}}'
       WHEN {k} = 4 THEN '{{"T": 1, "n": "int", "s": 4}}'
       WHEN {k} = 5 THEN '{{"T": 10}}'
-      WHEN {k} = 6 THEN 'ptr<void>'
+      WHEN {k} = 6 THEN CASE WHEN length({var}) % 8 = 2 THEN 'ptr<' || {var} || '>' ELSE 'ptr<v' || ({key} % 3) || '>' END
       ELSE '{{"T": 3, "t": "u_' || {lang} || '_0"}}' END"""
 
 
@@ -77,7 +77,7 @@ entries AS (SELECT doc_id AS entry_id, lang, source, {mark_words("regexp_extract
 padded AS (SELECT entry_id, lang, tokens, list_concat(list_concat({_PAD}, list_transform(tokens, lambda t: {norm("t")})), {_PAD}) AS p FROM entries),
 targets AS (SELECT entry_id, lang, p, i - 1 AS pos, tokens[i] AS t FROM (SELECT entry_id, lang, p, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM padded) WHERE tokens[i] LIKE '@@%' AND tokens[i] LIKE '%@@' AND strlen(tokens[i]) >= 4),
 named AS (SELECT entry_id, lang, p, pos, substr(t, 3, length(t) - 4) AS var, CASE WHEN starts_with(substr(t, 3), 'sub_') THEN 'function' ELSE 'variable' END AS kind FROM targets),
-truth AS (SELECT entry_id, var, kind, lang, count(*) AS n_occurrences, length(var) % 7 <> 0 AS human, {label("var", "lang")} AS label FROM named GROUP BY entry_id, var, kind, lang)"""
+truth AS (SELECT entry_id, var, kind, lang, count(*) AS n_occurrences, length(var) % 7 <> 0 AS human, {label("var", "lang", "entry_id")} AS label FROM named GROUP BY entry_id, var, kind, lang)"""
 
 _AT = f"(pos + {max(SIZES)})"
 _SHORT = "CASE WHEN kind = 'function' THEN 'fn' ELSE 'var' END"

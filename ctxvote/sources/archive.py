@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import tarfile
 
@@ -31,26 +32,56 @@ def flat_name(path: Column) -> Column:
     return F.when(member_key(path).isNotNull(), F.concat(F.regexp_extract(path, MEMBER, 1), F.lit("/"), F.regexp_extract(path, MEMBER, 3), F.lit("."), F.regexp_extract(path, MEMBER, 4), F.lit(".gz")))
 
 
+def _opened(path: str):
+    """A stream of a file by its URI, wherever the executors can reach it."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(place)
+
+
 def read_members(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
-    """S-13: `archive, member, key, kind, size, content` of all archives.  An xz stream cannot be split, so an archive is a task;
-    its members leave it one by one."""
+    """S-13: `archive, member, key, kind, size, flat, content` of all archives.
+
+    An xz stream cannot be split, so an archive is a task; it is streamed, and its members leave it one by one.
+    """
     ensure_package(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.xz").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.xz").load(folder).select("path")
+    files = files.repartition(max(1, files.count()), "path")  # archives are few and large
 
     def extract(batches):
         for batch in batches:
-            for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
-                with tarfile.open(fileobj=io.BytesIO(data.as_py()), mode="r:xz") as archive:
+            for path in batch.column("path").to_pylist():
+                with _opened(path) as stream, tarfile.open(fileobj=stream, mode="r|xz") as archive:
                     for member in archive:
                         if member.isfile():
                             body = archive.extractfile(member).read() if content else None
-                            yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([member.name]), pa.array([member.size], pa.int64()), pa.array([body], pa.binary())], ["archive", "member", "size", "content"])
+                            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([member.name]), pa.array([member.size], pa.int64()), pa.array([body], pa.binary())], ["archive", "member", "size", "content"])
 
     rows = files.mapInArrow(extract, "archive string, member string, size long, content binary")
     rows = rows.withColumn("key", member_key(F.col("member"))).where("key is not null")
     return rows.select("archive", "member", "key", F.regexp_extract("member", MEMBER, 1).alias("kind"), "size", flat_name(F.col("member")).alias("flat"), *(["content"] if content else []))
 
 
+def unpacked(members: DataFrame) -> DataFrame:
+    """`flat, line` of the gzipped members, one row a line of each; a member that is no gzip stream is an error."""
+    ensure_package(members.sparkSession)
+
+    def unpack(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("flat").to_pylist(), batch.column("content"), strict=True):
+                lines, size = [], 0
+                for line in io.TextIOWrapper(gzip.GzipFile(fileobj=io.BytesIO(data.as_py())), encoding="utf-8", errors="replace"):
+                    lines.append(line.rstrip("\n"))
+                    size += len(line)
+                    if size > 1 << 22:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(lines, pa.string())], ["flat", "line"])
+                        lines, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string())], ["flat", "line"])
+
+    return members.select(F.regexp_replace("flat", r"\.gz\z", "").alias("flat"), "content").mapInArrow(unpack, "flat string, line string")
+
+
 def archive_stats(members: DataFrame) -> DataFrame:
     """A-30."""
     return members.agg(F.countDistinct("archive").alias("archives"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.countDistinct("key").alias("keys"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ def read_entries(spark: SparkSession, path: str, strict: bool = False) -> DataFr
     Lines without tokens or labels are malformed: they are dropped, or stop the read with `strict`.  `entry_id` is
     a hash of file name, line and place in the read: stable for the same files and split size, unique for equal lines.
     """
-    lines = spark.read.text(path, pathGlobFilter="*.jsonl*", recursiveFileLookup=True).select(F.col("value").alias("raw"), F.input_file_name().alias("_file"))
+    lines = _lines(spark, path).select(F.col("value").alias("raw"), F.input_file_name().alias("_file"))
     parsed = lines.where(F.trim("raw") != "").select("raw", "_file", F.from_json("raw", ENTRY, {"mode": "PERMISSIVE"}).alias("e"))
     good = F.col("e.tokens").isNotNull() & F.col("e.labels").isNotNull()
     if strict:
@@ -36,7 +39,13 @@ def read_entries(spark: SparkSession, path: str, strict: bool = False) -> DataFr
 
 def count_entries(spark: SparkSession, path: str) -> int:
     """S-3: the number of lines of a corpus."""
-    return spark.read.text(path, pathGlobFilter="*.jsonl*", recursiveFileLookup=True).count()
+    return _lines(spark, path).count()
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a corpus: one file, a folder that was written as one, or a folder of such files."""
+    named = ".jsonl" in path.rstrip("/").rpartition("/")[2]
+    return spark.read.text(path, pathGlobFilter=None if named else "*.jsonl*", recursiveFileLookup=True)
 
 
 def write_entries(entries: DataFrame, path: str) -> None:
@@ -113,19 +122,62 @@ def write_model(nested: DataFrame, path: str, settings: dict[str, object]) -> No
 
 
 def read_model(spark: SparkSession, path: str, settings: dict[str, object] | None = None) -> DataFrame:
-    """S-9, S-10, O-6, S-16: the model's rows, sizes from its folders; other settings than those it was built with are an error."""
+    """S-9, S-10, O-6: the model's rows, sizes from its folders; other settings than those it was built with, and a model
+    without any size, are errors."""
     known = {r.key: r.value for r in spark.read.parquet(f"{path}/settings").collect()}  # a handful of rows
     for k, v in (settings or {}).items():
         if known.get(k) != str(v):
             raise CorpusError(f"the model was built with {k}={known.get(k)}, not {v}")
     rows = spark.read.schema(f"{MODEL}, n int").parquet(f"{path}/windows")
+    if rows.select("n").where("n > 0").isEmpty():
+        raise CorpusError(f"the model at {path} has no sizes")
     return rows.select("n", "hash", "kind", "total", "preds")
 
 
-def nested_from_flat_arrays(rows: DataFrame, k: int) -> DataFrame:
-    """S-11: windows of an older exchange format: `n, hash, kind, total, typ array, counts array` with k cells a window."""
-    cells = F.transform(F.slice(F.arrays_zip("typ", "counts"), 1, k), lambda x: F.struct(x["typ"].cast("int").alias("vocab_id"), F.lit(None).cast("string").alias("label"), x["counts"].cast("bigint").alias("count")))
-    return rows.select("n", "hash", "kind", "total", F.filter(cells, lambda c: c["count"] > 0).alias("preds"))
+#: Widths in bits of the machines that a platform has models for.
+ARCHITECTURES = (32, 64)
+
+
+def write_platform(models: dict[int, DataFrame], path: str, settings: dict[str, object]) -> None:
+    """S-16: one nested model for each width in bits, in folders of their own."""
+    for bits, nested in models.items():
+        if bits not in ARCHITECTURES:
+            raise CorpusError(f"no machine is {bits} bits wide")
+        write_model(nested, f"{path}/{bits}", settings)
+
+
+def read_platform(spark: SparkSession, path: str, settings: dict[str, object] | None = None) -> DataFrame:
+    """S-16: `arch_bits` and the rows of the models of all widths that can be read; none at all is an error."""
+    found, failed = [], []
+    for bits in ARCHITECTURES:
+        try:
+            found.append(read_model(spark, f"{path}/{bits}", settings).select(F.lit(bits).alias("arch_bits"), "*"))
+        except (CorpusError, AnalysisException) as error:  # a folder that is missing, empty or of other settings
+            failed.append(f"{bits}: {error}")
+    if not found:
+        raise CorpusError(f"no model of {path} can be read ({'; '.join(failed)})")
+    return reduce(DataFrame.unionByName, found)
+
+
+def nested_from_flat_arrays(rows: DataFrame, k: int, vocab: DataFrame | None = None) -> DataFrame:
+    """S-11: windows of an older exchange format, `n, hash, kind, total, typ array, counts array` with k cells a window, as
+    nested rows.  Labels come from `vocab(kind, id, label)`; cells whose id it lacks go, and so does padding."""
+    cell = F.arrays_zip("typ", "counts")
+    flat = rows.select("n", "hash", "kind", "total", F.posexplode(F.slice(cell, 1, k)).alias("rank", "_c"))
+    flat = flat.select("n", "hash", "kind", "total", "rank", F.col("_c.typ").cast("int").alias("vocab_id"), F.col("_c.counts").cast("bigint").alias("count")).where("count > 0")
+    if vocab is not None:
+        flat = flat.join(vocab.select("kind", F.col("id").alias("vocab_id"), "label"), ["kind", "vocab_id"])
+    else:
+        flat = flat.withColumn("label", F.lit(None).cast("string"))
+    preds = F.array_sort(F.collect_list(F.struct("rank", "vocab_id", "label", "count")))  # k cells at most
+    nested = flat.groupBy("n", "hash", "kind").agg(F.first("total").alias("total"), preds.alias("_p"))
+    return nested.select("n", "hash", "kind", "total", F.transform("_p", lambda p: F.struct(p["vocab_id"].alias("vocab_id"), p["label"].alias("label"), p["count"].alias("count"))).alias("preds"))
+
+
+def flat_arrays(nested: DataFrame, k: int) -> DataFrame:
+    """The older exchange format of a model: `typ` and `counts` of k cells, padded with zeros."""
+    padded = lambda field, kind: F.slice(F.concat(F.transform("preds", lambda p: p[field].cast(kind)), F.array_repeat(F.lit(0).cast(kind), k)), 1, k)
+    return nested.select("n", "hash", "kind", "total", padded("vocab_id", "bigint").alias("typ"), padded("count", "bigint").alias("counts"))
 
 
 def write_predictions(lines: DataFrame, path: str) -> None:

@@ -1,3 +1,4 @@
+import gzip
 import io
 import json
 import lzma
@@ -10,6 +11,7 @@ from ctxvote import cli
 from ctxvote.sources import archive, corpus
 from ctxvote.streaming.counter import stream_counts
 
+MEMBER = gzip.compress(b"abc\nd\n", mtime=0)
 LINE = {"tokens": ["void", "@@sub_1@@", "(", "@@p1@@", ")", "{", "@@p1@@", "=", "0x10", "}"], "labels": {"type": {"p1": {"human": True, "label": "ptr<void>"}, "sub_1": {"human": True, "label": "fn"}}}}
 
 
@@ -64,6 +66,17 @@ def test_command_line_end_to_end(spark, tmp_path, capsys):
     (tmp_path / "code.txt").write_text("t0 sub_1(param1){param1=0x10}")
     run("recover", tmp_path / "code.txt", "-d", tmp_path / "model", "-f")
     assert "param1" in capsys.readouterr().out
+    run("recover", tmp_path / "code.txt", "-d", tmp_path / "model", "-f", "--vocab", tmp_path / "vocab")
+    assert "param1" in capsys.readouterr().out
+    older = corpus.flat_arrays(corpus.read_model(spark, str(tmp_path / "model")), 5)
+    older.write.parquet(str(tmp_path / "older"))
+    run("convert-dbs", tmp_path / "older", tmp_path / "vocab", tmp_path / "converted", "-f")
+    same = lambda p: {(r.n, r.hash, r.kind, r.total, tuple(map(tuple, r.preds))) for r in corpus.read_model(spark, str(p)).collect()}
+    assert same(tmp_path / "converted") == same(tmp_path / "model")
+    corpus.write_vocab_json(corpus.read_vocab(spark, str(tmp_path / "vocab")), "function", str(tmp_path / "fn.json"))
+    run("build-db", tmp_path / "raw", tmp_path / "vocab", tmp_path / "one", "-f", "-s", "2", "--fn-vocab", tmp_path / "fn.json")
+    assert {r.n for r in corpus.read_model(spark, str(tmp_path / "one")).collect()} == {2}
+    assert corpus.read_entries(spark, str(tmp_path / "set" / "converted_train.jsonl")).count() > 0
     run("print-db-hashes", tmp_path / "code.txt")
 
 
@@ -72,12 +85,12 @@ def test_archives(spark, tmp_path):
         with lzma.open(tmp_path / f"{a}.tar.xz", "wb") as out, tarfile.open(fileobj=out, mode="w") as tar:
             for name in (f"./bins/x/h{a}.jsonl.gz", f"types/x/h{a}.json.gz", "bins/x/deep/h.jsonl.gz", "types/x/h9.jsonl.gz", "readme"):
                 info = tarfile.TarInfo(name)
-                info.size = 3
-                tar.addfile(info, io.BytesIO(b"abc"))
+                info.size = len(MEMBER)
+                tar.addfile(info, io.BytesIO(MEMBER))
     assert archive.find_archives(spark, str(tmp_path)).count() == 2
     members = archive.read_members(spark, str(tmp_path))
     assert {(r.key, r.flat) for r in members.collect()} == {("h0", "bins/h0.jsonl.gz"), ("h0", "types/h0.json.gz"), ("h1", "bins/h1.jsonl.gz"), ("h1", "types/h1.json.gz")}
-    assert archive.archive_stats(members).first().asDict() == {"archives": 2, "files": 4, "bytes": 12, "keys": 2}
+    assert archive.archive_stats(members).first().asDict() == {"archives": 2, "files": 4, "bytes": 4 * len(MEMBER), "keys": 2}
     (tmp_path / "list.txt").write_text(" h1 \n\n")
     (tmp_path / "none.txt").write_text("\n")
     assert [r.key for r in archive.read_hash_list(spark, str(tmp_path / "list.txt")).collect()] == ["h1"]
@@ -85,6 +98,36 @@ def test_archives(spark, tmp_path):
         archive.read_hash_list(spark, str(tmp_path / "none.txt"))
     cli.main(["extract", "-d", str(tmp_path), "-o", str(tmp_path / "ex"), "-f", str(tmp_path / "list.txt")], spark)
     assert {r.flat for r in spark.read.parquet(str(tmp_path / "ex")).collect()} == {"bins/h1.jsonl.gz", "types/h1.json.gz"}
+    assert {(r.flat, r.line) for r in spark.read.parquet(str(tmp_path / "ex_unpacked")).collect()} == {(f, x) for f in ("bins/h1.jsonl", "types/h1.json") for x in ("abc", "d")}
+    cli.main(["extract", "--directory", str(tmp_path), "-o", str(tmp_path / "more"), "-f", str(tmp_path / "list.txt"), "-a", "1", "-v", "-t", "2"], spark)
+    assert spark.read.parquet(str(tmp_path / "more")).count() == 4  # the listed key and a sampled one
+
+
+def test_models_without_sizes_and_platforms(spark, tmp_path):
+    empty = spark.createDataFrame([], f"{corpus.MODEL}, n int")
+    corpus.write_model(empty, str(tmp_path / "p" / "32"), {})
+    with pytest.raises(corpus.CorpusError, match="no sizes"):
+        corpus.read_model(spark, str(tmp_path / "p" / "32"))
+    with pytest.raises(corpus.CorpusError, match="no model"):
+        corpus.read_platform(spark, str(tmp_path / "p"))
+    one = spark.createDataFrame([("a" * 24, "variable", 3, [(0, "x", 3)], 2)], f"{corpus.MODEL}, n int")
+    corpus.write_model(one, str(tmp_path / "p" / "64"), {})
+    assert [(r.arch_bits, r.n) for r in corpus.read_platform(spark, str(tmp_path / "p")).collect()] == [(64, 2)]
+    with pytest.raises(corpus.CorpusError):
+        corpus.write_platform({16: one}, str(tmp_path / "q"), {})
+
+
+def test_reports_print_every_row(spark, capsys):
+    cli._print(spark.range(1500).selectExpr("id", "concat('x', repeat('y', 50), id) as t"))
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) == 1501 and out[-1].endswith("1499") and out[0] == "id | t"
+
+
+def test_throughput():
+    from ctxvote.operators.metrics import throughput
+
+    assert throughput(200, 4.0, 5.5).asDict() == {"ms_per_entry": 20.0, "entries_per_second": 50.0, "inference_seconds": 4.0, "total_seconds": 5.5}
+    assert throughput(0, 1.0, 1.0).ms_per_entry == 0.0
 
 
 def test_executables(spark, tmp_path):
