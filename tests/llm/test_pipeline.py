@@ -3,6 +3,10 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from ctxvote.llm import toxicity
+from ctxvote.llm.tokens import Encoder, tokenizer_json
+from test_decontaminate import brute as leak_brute
+from test_near_dedup import brute as near_brute
 
 
 def build(spark, folder):
@@ -78,3 +82,30 @@ def test_very_long_texts_pass_whole(spark, tmp_path):
         own = sorted((r.start, r.length) for r in pieces if r.doc_id == doc_id)
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
         assert own[-1][0] + own[-1][1] == next(r.doc_tokens for r in pieces if r.doc_id == doc_id)
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Every stage on what the one before it kept, against plain Python."""
+    docs = build(spark, str(tmp_path))
+    benchmark = [(r.item_id, r.text) for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()]
+    scores = {(r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))).collect()}
+    before = {(r.doc_id, r.text) for r in docs.collect()}
+    got = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, got, str(tmp_path))
+        kept = {(r.doc_id, r.text) for r in got.collect()}
+        if name == "toxicity":
+            want = {(i, t) for i, t in before if (i, max(s for j, s in scores if j == i)) in {x for x in scores if x[1] < toxicity.THRESHOLD}}
+        elif name == "exact_dedup":
+            want = {(i, t) for i, t in before if i == max(j for j, u in before if (u or "") == (t or ""))}
+        elif name == "near_dedup":
+            want = {(i, t) for i, t in before if i in {c for _, c, _ in near_brute(sorted(before, key=lambda r: r[0]))}}
+        else:
+            want = {(i, t) for i, t in before if i in {d for d, _, hit, _ in leak_brute(sorted(before, key=lambda r: r[0]), benchmark) if not hit}}
+        assert kept == want, name
+        before = kept
+    enc = Encoder(tokenizer_json())
+    pieces = sorted((r.doc_id, r.start, bytes(r.ids)) for r in corpus_pipeline.pack(spark, got, str(tmp_path)).collect())
+    for doc_id, text in before:
+        ids = enc.whole(text or "") + (1).to_bytes(4, "little")
+        assert b"".join(x for i, _, x in pieces if i == doc_id) == ids
