@@ -56,8 +56,8 @@ def _broadcast_blocks(spark, benchmark: DataFrame, window: int, item_col: str, i
         yield spark.sparkContext.broadcast(benchmark_windows([(r.item_id, r.text) for r in block.collect()], window)), k == n - 1
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per input row: `doc_id, text, n_words, hits, items`.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", texts: bool = True) -> DataFrame:
+    """One row per input row: `doc_id, text, n_words, hits, items`; without `texts` the text stays where it was read.
 
     `hits` are maximal runs of hit words (word positions, end exclusive), in order; `items` the ids, as strings, of
     the items with a window in the document, sorted.  Null and empty texts have no words and no hits; an item
@@ -67,7 +67,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     spark = docs.sparkSession
     found = own_rows(docs, id_col, text_col).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     for known, last in _broadcast_blocks(spark, benchmark, window, item_col, item_text_col):
-        found = found.mapInArrow(_scanner(known), _FOUND)
+        carried = texts or not last
+        found = found.mapInArrow(_scanner(known, carried), _FOUND if carried else _FOUND.replace("text string, ", ""))
         found = found if last else cut(found)  # one block's windows at a time in a worker
     return found
 
@@ -96,7 +97,7 @@ def scan_texts(texts: list[bytes], windows) -> tuple[np.ndarray, np.ndarray, dic
     return first, np.cumsum(marks[:-1]) > 0, items
 
 
-def _scanner(known):
+def _scanner(known, carried: bool):
     def scan(batches):
         windows = known.value
         for batch in text_runs(batches):
@@ -114,7 +115,8 @@ def _scanner(known):
                 new_hits.append([{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
             new_items = [sorted(items[d].union(old_items[d])) if d in items else old_items[d] for d in range(batch.num_rows)]
             spans = pa.array(new_hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(np.diff(first)), spans, pa.array(new_items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "hits", "items"])
+            out = {"doc_id": batch.column("doc_id"), **({"text": batch.column("text")} if carried else {}), "n_words": pa.array(np.diff(first)), "hits": spans, "items": pa.array(new_items, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return scan
 
