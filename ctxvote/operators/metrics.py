@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names, types
 from ..functions.text import body_hash, without_space
+from ..lineage import cut
 from . import typesys
+from .model import BROADCAST_LABELS
 
 #: The cut-offs of a sweep.
 CUTOFFS = (None, 0.40, 0.65, 0.90, 0.95)
@@ -26,8 +28,9 @@ def records(predictions: DataFrame, vocab: DataFrame) -> DataFrame:
     """
     used = predictions.select(F.col("pred").alias("label")).union(predictions.select("label"))
     table = typesys.type_table(used, vocab)
-    missing = table.where("missing").select(F.col("label").alias("pred"))
-    usable = predictions.join(F.broadcast(missing), "pred", "left_anti")  # the vocabulary's labels of one category
+    missing = cut(table.where("missing").select(F.col("label").alias("pred")))
+    small = missing.count() <= BROADCAST_LABELS
+    usable = predictions.join(F.broadcast(missing) if small else missing, "pred", "left_anti")
     best = usable.withColumn("_r", F.row_number().over(Window.partitionBy("entry_id", "var", "kind").orderBy("rank"))).where("_r = 1")
     pairs = typesys.compare_pairs(best, table)
     fn = lambda c: F.coalesce(types.function_name(F.col(f"{c}.head")), F.col(f"{c}.label"))
