@@ -146,7 +146,7 @@ def _signer(weights: str):
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
-        for batch in text_runs(batches, 1 << 20):
+        for batch in text_runs(batches, 1 << 19):
             texts = [lowered(bytes(t)) for t in byte_slices(batch.column("text"))]
             n = len(texts)
             grams, gram_doc, counts, keys = shingles(*joined_docs(texts))
@@ -170,14 +170,14 @@ def _signer(weights: str):
 _SIGNED = "doc_id long, text_key long, n_words long, key1 long, key2 long, bands array<long>, packed binary"
 
 
-def _slices(batches, columns: tuple[str, ...], limit: int = 1 << 20):
+def _slices(batches, columns: tuple[str, ...], limit: int = 1 << 18):
     """Lists of columns of a few rows each: about `limit` bytes of packed text."""
     for batch in batches:
         sizes = np.cumsum(pc.binary_length(batch.column("packed")).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, "right"))
-            stop = min(max(stop, start + 1), start + 512)
+            stop = min(max(stop, start + 1), start + 256)
             rows = batch.slice(start, stop - start)
             yield [rows.column(c).to_pylist() for c in columns]
             start += rows.num_rows
@@ -311,7 +311,7 @@ def _cell_verifier(weights: str, similarity: float):
                 own = slice(first[k], first[k + 1])
                 if not later:
                     held.append((node, root, bands))
-                    parts.append((g[own], d[own] - k, times[own], 1))
+                    parts.append((g[own].copy(), d[own] - k, times[own].copy(), 1))
                 elif held:
                     if index is None:
                         index, _ = build()
