@@ -43,7 +43,7 @@ _SEGMENT = 1 << 17
 
 #: Bytes that the initial buckets stand for; neighbourhoods that are refined at once, cut between anchors.
 STEP = 8
-_AT_ONCE = 1 << 14
+_AT_ONCE = 1 << 12
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -279,19 +279,43 @@ def suffix_buckets(text: np.ndarray, length: int) -> np.ndarray:
     number is the result of the step before.
     """
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, STEP, axis=1)).view(np.uint64)[:, :, 0]
-    bucket = np.unique(words, return_inverse=True)[1].reshape(words.shape)  # the initial buckets
+    bucket = _numbered(words)  # the initial buckets
     done = STEP
     while done < length:
         offset = min(done, length - done)  # the last step overlaps the one before
         width = text.shape[1] - (done + offset) + 1
         pair = bucket[:, :width] * np.int64(bucket.max() + 1) + bucket[:, offset : offset + width]
-        bucket = np.unique(pair, return_inverse=True)[1].reshape(pair.shape)
+        bucket = _numbered(pair)
         done += offset
     return bucket
 
 
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    """Equal keys, and only those, share a number; the numbers are in the order of the keys."""
+    flat = keys.ravel()
+    order = np.argsort(flat)
+    in_order = flat[order]
+    out = np.empty(len(flat), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], in_order[1:] != in_order[:-1]]))
+    return out.reshape(keys.shape)
+
+
 def repeat_masks(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each neighbourhood, bit a: the string that starts a bytes before the anchor is in one with a smaller id."""
+    """For each neighbourhood, bit a: the string that starts a bytes before the anchor is in one with a smaller id.
+
+    Equal neighbourhoods are refined once; those behind the smallest of them repeat it in full.
+    """
+    _, first, of = np.unique(_row_keys(rows), return_index=True, return_inverse=True)
+    smallest = np.full(len(first), _NO_ID)
+    np.minimum.at(smallest, of, ids)
+    masks = _distinct_masks(rows[first], smallest)[of]
+    again = np.flatnonzero(ids > smallest[of])
+    masks[again] = _whole(rows[again])
+    return masks
+
+
+def _distinct_masks(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """`repeat_masks` of neighbourhoods that are all different."""
     masks = np.zeros(len(rows), np.uint64)
     anchor = _row_keys(np.ascontiguousarray(rows[:, _SIDE : _SIDE + Q]))
     order = np.argsort(anchor, kind="stable")
