@@ -25,11 +25,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ship import ensure_package
-from ._shared import checkpoint_dir, cut, own_rows, partitions_of, sized_join
+from ._shared import checkpoint_dir, cut, own_rows, partitions_of, release_memory, sized_join
 from .tokens import encoded_rows
 
 #: A chunk ends where this many low bits of the rolling hash are zero: 512 ids on average, at most `LONGEST`.
@@ -173,36 +174,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
                 rows.append((bucket, None, None, None, None, None, z.compress(pack)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "doc_id", "n_tokens", "digests", "lengths", "root", "pack"])
 
-    def unique(batches):
-        """Chunks of a bucket once each, recipes as they are; a task has one bucket, so only its digests are held."""
-        import zstandard
-
-        z, seen = zstandard.ZstdDecompressor(), set()
-        for batch in batches:
-            recipes = batch.filter(pa.compute.is_null(batch.column("pack")))
-            if recipes.num_rows:
-                none = [pa.nulls(recipes.num_rows, t) for t in (pa.binary(), pa.binary(), pa.int32(), pa.int32())]
-                kind = pa.array(["recipe"] * recipes.num_rows)
-                yield pa.RecordBatch.from_arrays([kind, *[recipes.column(c) for c in ("doc_id", "n_tokens", "digests", "lengths", "root")], *none], _STAGED)
-            for packed in batch.column("pack").drop_null():
-                pack = z.decompress(packed.as_py())
-                count = int(np.frombuffer(pack, "<u4", 1)[0])
-                at, rows = 4 + 40 * count, []
-                for k in range(count):
-                    digest = pack[4 + 40 * k : 36 + 40 * k]
-                    width, size = (int(x) for x in np.frombuffer(pack, "<u4", 2, 36 + 40 * k))
-                    if digest not in seen:
-                        seen.add(digest)
-                        rows.append((digest, pack[at : at + size], width, size // width))
-                    at += size
-                if rows:
-                    none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
-                    made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * len(rows)), *none, *made], _STAGED)
-
     rows = own.mapInArrow(encode, "bucket long, doc_id long, n_tokens long, digests binary, lengths binary, root binary, pack binary")
     staged = rows.repartitionById(n, F.col("bucket").cast("int"))
-    staged = staged.mapInArrow(unique, "kind string, doc_id long, n_tokens long, digests binary, lengths binary, root binary, digest binary, ids binary, width int, n_ids int")
+    staged = staged.mapInArrow(_unique, "kind string, doc_id long, n_tokens long, digests binary, lengths binary, root binary, digest binary, ids binary, width int, n_ids int")
     staged.write.partitionBy("kind").parquet(f"{path}/staged")
     _order_recipes(spark, path, n)
     manifest = _manifest(_recipes(spark, path))
@@ -210,6 +184,38 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     return _top_root(_stored_manifest(spark, path))
 
 
+def _unique(batches):
+    """Chunks of a bucket once each, recipes as they are; a task has one bucket, so only its digests are held.
+
+    Workers outlive tasks, so the encoders of the tasks before, a large part of their memory, go first.
+    """
+    import zstandard
+
+    release_memory()
+    z, seen = zstandard.ZstdDecompressor(), set()
+    for batch in batches:
+        recipes = batch.filter(pa.compute.is_null(batch.column("pack")))
+        if recipes.num_rows:
+            none = [pa.nulls(recipes.num_rows, t) for t in (pa.binary(), pa.binary(), pa.int32(), pa.int32())]
+            kind = pa.array(["recipe"] * recipes.num_rows)
+            yield pa.RecordBatch.from_arrays([kind, *[recipes.column(c) for c in ("doc_id", "n_tokens", "digests", "lengths", "root")], *none], _STAGED)
+        for packed in batch.column("pack").drop_null():
+            pack = z.decompress(packed.as_py())
+            count = int(np.frombuffer(pack, "<u4", 1)[0])
+            at, rows = 4 + 40 * count, []
+            for k in range(count):
+                digest = pack[4 + 40 * k : 36 + 40 * k]
+                width, size = (int(x) for x in np.frombuffer(pack, "<u4", 2, 36 + 40 * k))
+                if digest not in seen:
+                    seen.add(digest)
+                    rows.append((digest, pack[at : at + size], width, size // width))
+                at += size
+            if rows:
+                none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * len(rows)), *none, *made], _STAGED)
+
+
 _STAGED = ["kind", "doc_id", "n_tokens", "digests", "lengths", "root", "digest", "ids", "width", "n_ids"]
 _STAGED_RECIPE = "doc_id long, n_tokens long, digests binary, lengths binary, root binary"
 _CHUNK = "digest binary, ids binary, width int, n_ids int"

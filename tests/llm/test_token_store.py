@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from ctxvote.llm import token_store
+from ctxvote.llm import token_store, tokens
 from ctxvote.llm.tokens import Encoder, tokenizer_json
 
 
@@ -100,3 +100,8 @@ def test_crc_moves():
         a, b = rng.randbytes(rng.randint(0, 300)), rng.randbytes(rng.randint(0, 5000))
         moved = token_store.moved_crc(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]
         assert int(moved) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+def test_writing_chunks_gives_up_the_encoders_of_earlier_tasks():
+    tokens._ENCODERS[0] = object()
+    assert list(token_store._unique(iter([]))) == [] and not tokens._ENCODERS
