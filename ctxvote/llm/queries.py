@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, pii, substring_dedup, token_store, toxicity
@@ -43,7 +43,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["ord"] < pii.BASE_KINDS)
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["ord"] == n)).cast("long").alias(f"n_{k[0]}") for n, k in enumerate(pii.KINDS[: pii.BASE_KINDS])]
+
+    def count(n: int) -> Column:  # a lambda with a second parameter would be given the position there
+        return F.size(F.filter("spans", lambda s: s["ord"] == n)).cast("long")
+
+    counts = [count(n).alias(f"n_{k[0]}") for n, k in enumerate(pii.KINDS[: pii.BASE_KINDS])]
     return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 

@@ -1,6 +1,8 @@
+import hashlib
 import re
 
 from ctxvote.llm.pii import find_pii, redact, written
+from ctxvote.llm.queries import op6_pii
 from pyspark.sql import functions as F
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -60,3 +62,15 @@ def test_redact_and_empty_table(spark):
     out = df.join(find_pii(df), "doc_id").select("doc_id", redact(F.coalesce("text", F.lit("")), F.col("spans")).alias("t")).orderBy("doc_id").collect()
     assert [r.t for r in out] == ["to [email], [ip] end", ""]
     assert find_pii(df.limit(0)).collect() == []
+
+
+def test_query_counts_each_base_kind(spark, tmp_path):
+    texts = [*TEXTS, "1.2.3.4 5.6.7.8 9.10.11.12", "a@b.c and 4574119703904108", "+1 (918) 555-4181 ssn 123-45-6789"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op6_pii(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute(texts[r.doc_id])
+        kinds = [x.split(":")[0] for x in want.split(",")]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds.count(k) for k in ("email", "ip", "card", "phone")], r
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), r
