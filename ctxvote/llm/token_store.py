@@ -20,6 +20,7 @@ polynomial), and the moved values add up by exclusive or.
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 import zlib
 
@@ -67,7 +68,8 @@ def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     ends = np.unique(np.concatenate([found, doc_ends]))
     gaps = np.diff(ends, prepend=0)
     if len(gaps) and gaps.max() > LONGEST:
-        ends = np.concatenate([np.append(np.arange(e - g + LONGEST, e, LONGEST), e) for e, g in zip(ends, gaps, strict=True)])
+        long = gaps > LONGEST
+        ends = np.sort(np.concatenate([ends, *[np.arange(e - g + LONGEST, e, LONGEST) for e, g in zip(ends[long], gaps[long], strict=True)]]))
     return ends
 
 
@@ -152,14 +154,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             lengths = np.diff(ends, prepend=0).astype("<u4")
             places = ends.tolist()
             digests = [hashlib.sha256(raw[4 * a : 4 * b]).digest() for a, b in zip([0, *places], places, strict=False)]
+            narrow = (np.maximum.reduceat(ids, ends - lengths) < 1 << 16).tolist()
             start = 0
-            for digest, end in zip(digests, places, strict=True):
+            for digest, end, short in zip(digests, places, narrow, strict=True):
                 if digest not in sent:
                     if len(sent) >= REMEMBERED:
                         sent.clear()
                     sent.add(digest)
                     piece = ids[start:end]
-                    piece = piece.astype("<u2") if piece.max() < 1 << 16 else piece
+                    piece = piece.astype("<u2") if short else piece
                     packs.setdefault(int.from_bytes(digest[:8], "big") % n, []).append((digest, piece.itemsize, piece.tobytes()))
                 start = end
             rows, first = [], 0
@@ -169,7 +172,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
                 rows.append((bucket, doc_id, len(x) // 4, b"".join(own), lengths[first:last].tobytes(), merkle_root(own), None))
                 first = last
             for bucket, chunks in packs.items():
-                heads = b"".join(d + np.asarray([w, len(b)], "<u4").tobytes() for d, w, b in chunks)
+                heads = b"".join(d + struct.pack("<II", w, len(b)) for d, w, b in chunks)
                 pack = np.asarray([len(chunks)], "<u4").tobytes() + heads + b"".join(b for _, _, b in chunks)
                 rows.append((bucket, None, None, None, None, None, z.compress(pack)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "doc_id", "n_tokens", "digests", "lengths", "root", "pack"])
@@ -205,7 +208,7 @@ def _unique(batches):
             at, rows = 4 + 40 * count, []
             for k in range(count):
                 digest = pack[4 + 40 * k : 36 + 40 * k]
-                width, size = (int(x) for x in np.frombuffer(pack, "<u4", 2, 36 + 40 * k))
+                width, size = struct.unpack_from("<II", pack, 36 + 40 * k)
                 if digest not in seen:
                     seen.add(digest)
                     rows.append((digest, pack[at : at + size], width, size // width))

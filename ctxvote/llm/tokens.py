@@ -1,7 +1,7 @@
 """Token ids of whole texts by the `tokenizers` library, with a bounded cache of encoded units.
 
 A byte-level BPE encodes the units of its pre-tokenizer apart.  A run of texts is cut into units at once by byte classes;
-the distinct units of the run are looked up in a cache, the library encodes those that are missing, and the ids of the
+the units of the run are looked up in a cache, the library encodes those that are missing once each, and the ids of the
 texts are gathered.  Where a text holds characters that are not classed here (white space other than spaces and
 line feeds, control characters, rare or new ones), everything up to the next safe cuts is one unit that the library
 splits itself.  A cut is safe before a space between two visible characters that are classed.  Vocabularies with other
@@ -14,14 +14,15 @@ import os
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-#: Units kept by a worker (about 180 bytes each, longer ones are not kept); the least recently used half goes.
-CACHE_UNITS, CACHE_LONGEST = 400_000, 64
+#: Units kept by a worker (about 70 bytes each, those over `KEY_BYTES` are not kept); the least recently used half goes.
+CACHE_UNITS, KEY_BYTES = 1_000_000, 23
+#: Units that the library gets as one text: short texts keep within the processor's caches.
+SPACED_UNITS = 200
 #: Bytes of text that are cut into units at once.
 RUN_BYTES = 1 << 21
 
@@ -113,6 +114,78 @@ def unit_starts(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, n
     return at, plain
 
 
+class UnitTable:
+    """Numbers (0, 1, ...) of units of at most `KEY_BYTES` bytes: open addressing, and the keys hold the bytes themselves."""
+
+    def __init__(self) -> None:
+        self.keys = [np.zeros(0, np.uint64)] * 3
+        self._place(16)
+
+    def __len__(self) -> int:
+        return len(self.keys[0])
+
+    @staticmethod
+    def keys_of(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Three words for each unit, its bytes with its length as the last one; units must not be longer than fits."""
+        padded = np.concatenate([raw, np.zeros(KEY_BYTES + 1, np.uint8)])
+        words = np.ndarray((len(raw) + KEY_BYTES - 6,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        masks = np.asarray([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        keys = [words[at + first] & masks[np.clip(sizes - first, 0, 8)] for first in (0, 8, 16)]
+        keys[2] |= sizes.astype(np.uint64) << np.uint64(56)
+        return keys
+
+    def _slots_of(self, keys: list[np.ndarray]) -> np.ndarray:
+        h = keys[0] * np.uint64(0x9E3779B97F4A7C15)
+        for key, factor in zip(keys[1:], (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), strict=True):
+            h ^= h >> np.uint64(31)
+            h += key
+            h *= np.uint64(factor)
+        h ^= h >> np.uint64(31)
+        return (h & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, keys: list[np.ndarray]) -> np.ndarray:
+        """The number of each unit, -1 for those that are missing."""
+        out = np.full(len(keys[0]), -1, np.int64)
+        left, slots = np.arange(len(out)), self._slots_of(keys)
+        while len(self) and len(left):
+            number = self.slots[slots]
+            same = number >= 0
+            again = same.copy()
+            for own, key in zip(self.keys, keys, strict=True):
+                same &= own[number] == key
+            out[left[same]] = number[same]
+            again &= ~same
+            left, slots, keys = left[again], (slots[again] + 1) & (len(self.slots) - 1), [k[again] for k in keys]
+        return out
+
+    def add(self, keys: list[np.ndarray]) -> None:
+        """Number units that differ and are missing."""
+        first = len(self)
+        self.keys = [np.concatenate([own, key]) for own, key in zip(self.keys, keys, strict=True)]
+        if 2 * len(self) > len(self.slots):
+            self._place(4 * len(self))
+        else:
+            self._fill(first)
+
+    def keep(self, numbers: np.ndarray) -> None:
+        """Forget all units but these, which are numbered anew in their order."""
+        self.keys = [k[numbers] for k in self.keys]
+        self._place(len(self.slots))
+
+    def _place(self, room: int) -> None:
+        self.slots = np.full(1 << (room - 1).bit_length(), -1, np.int32)
+        self._fill(0)
+
+    def _fill(self, first: int) -> None:
+        number = np.arange(first, len(self), dtype=np.int32)
+        slots = self._slots_of([k[first:] for k in self.keys])
+        while len(number):
+            free = np.flatnonzero(self.slots[slots] < 0)
+            self.slots[slots[free]] = number[free]  # of several units for a slot one stays
+            left = self.slots[slots] != number
+            number, slots = number[left], (slots[left] + 1) & (len(self.slots) - 1)
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -128,7 +201,7 @@ class Encoder:
         for token, number in self.tokenizer.get_vocab().items():
             self.size[number] = len(token)
         self.cache_units = cache_units
-        self.number: dict[bytes, int] = {}  # of a unit in the cache, in the order of its arrays
+        self.units = UnitTable()  # the cache; its arrays are in the order of the numbers
         self.pool, self.at, self.used, self.now = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32), 0
 
     def whole(self, text: str) -> bytes:
@@ -139,8 +212,8 @@ class Encoder:
         ids, counts = [], []
         ends = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1]
         data = memoryview(units.buffers()[2] or b"")
-        for at in range(0, len(units), 4000):
-            own = ends[at : at + 4001]
+        for at in range(0, len(units), SPACED_UNITS):
+            own = ends[at : at + SPACED_UNITS + 1]
             found = np.asarray(self.tokenizer.encode_batch_fast([str(data[own[0] : own[-1]], "utf-8")], add_special_tokens=False)[0].ids, np.uint32)
             last = np.searchsorted(np.cumsum(self.size[found]), own[1:] - own[0]) + 1
             ids.append(found)
@@ -164,50 +237,52 @@ class Encoder:
         back[order] = np.arange(len(order))
         return _gather(flat, (ends - lens)[back], lens[back])
 
-    def _lookup(self, units: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pool of ids, start, length) of each distinct unit."""
-        self.now += 1
-        ends = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1].tolist()
-        data = units.buffers()[2].to_pybytes()
-        names = [data[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905, RUF007
-        found = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
-        hit = found >= 0
-        self.used[found[hit]] = self.now
-        miss = np.flatnonzero(~hit)
-        ids, ends = self._encode_missing(units.take(pa.array(miss)), plain[miss])
-        starts, lens = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
-        starts[hit], lens[hit] = self.at[found[hit]], self.at[found[hit] + 1] - self.at[found[hit]]
-        lens[miss] = np.diff(ends, prepend=0)
-        starts[miss] = len(self.pool) + ends - lens[miss]
-        pool = np.concatenate([self.pool, ids])
-        kept = [k for k in miss.tolist() if len(names[k]) <= CACHE_LONGEST]
-        kept_ids, kept_ends = _gather(pool, starts[kept], lens[kept])
-        self.number.update(zip([names[k] for k in kept], range(len(self.used), len(self.used) + len(kept)), strict=True))
-        self.pool, self.at = np.concatenate([self.pool, kept_ids]), np.concatenate([self.at, self.at[-1] + kept_ends])
-        self.used = np.concatenate([self.used, np.full(len(kept), self.now, np.int32)])
+    def _keep(self, keys: list[np.ndarray], pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
+        """Add units and their ids to the cache."""
+        ids, ends = _gather(pool, starts, lens)
+        self.units.add(keys)
+        self.pool, self.at = np.concatenate([self.pool, ids]), np.concatenate([self.at, self.at[-1] + ends])
+        self.used = np.concatenate([self.used, np.full(len(starts), self.now, np.int32)])
         if len(self.used) > self.cache_units:
             stay = np.sort(np.argsort(-self.used, kind="stable")[: self.cache_units // 2])
-            names = list(self.number)  # in the order of their numbers
-            self.number = {names[k]: i for i, k in enumerate(stay.tolist())}
+            self.units.keep(stay)
             self.used = self.used[stay]
             self.pool, ends = _gather(self.pool, self.at[stay], np.diff(self.at)[stay])
             self.at = np.append(0, ends)
-        return pool, starts, lens
 
     def _encode_run(self, data: bytes, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of texts that stand one after another, how many come before each text)."""
         raw = np.frombuffer(data, np.uint8)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(doc_starts), np.int64)
+        self.now += 1
         at, plain = unit_starts(raw, doc_starts)
+        sizes = np.diff(at, append=len(raw))
+        short = np.flatnonzero(sizes <= KEY_BYTES)
+        keys = self.units.keys_of(raw, at[short], sizes[short])
+        number = np.full(len(at), -1, np.int64)
+        number[short] = self.units.find(keys)
+        hit = number >= 0
+        self.used[number[hit]] = self.now
+        miss = np.flatnonzero(~hit)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(np.int64)), pa.py_buffer(data)])
-        coded = units.dictionary_encode()
+        coded = units.take(pa.array(miss)).dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         is_plain = np.zeros(len(coded.dictionary), bool)
-        is_plain[codes[plain]] = True
-        is_plain[codes[~plain]] = False  # a unit of both kinds is encoded by itself
-        pool, starts, lens = self._lookup(coded.dictionary, is_plain)
-        ids, ends = _gather(pool, starts[codes], lens[codes])
+        is_plain[codes[plain[miss]]] = True
+        is_plain[codes[~plain[miss]]] = False  # a unit of both kinds is encoded by itself
+        ids, ends = self._encode_missing(coded.dictionary, is_plain)
+        counts = np.diff(ends, prepend=0)
+        starts, lens = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        starts[hit], lens[hit] = self.at[number[hit]], self.at[number[hit] + 1] - self.at[number[hit]]
+        starts[miss], lens[miss] = len(self.pool) + (ends - counts)[codes], counts[codes]
+        pool = np.concatenate([self.pool, ids])
+        where = np.empty(len(counts), np.int64)
+        where[codes[::-1]] = miss[::-1]  # the first place of each missing unit
+        where = where[sizes[where] <= KEY_BYTES]
+        among = np.searchsorted(short, where)
+        self._keep([k[among] for k in keys], pool, starts[where], lens[where])
+        ids, ends = _gather(pool, starts, lens)
         return ids, np.append(0, ends)[np.searchsorted(at, doc_starts)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:

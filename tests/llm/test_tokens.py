@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ctxvote.llm import tokens
-from ctxvote.llm.tokens import Encoder, tokenizer_json
+from ctxvote.llm.tokens import Encoder, UnitTable, tokenizer_json
 
 PARTS = ["word", "Wörter", "don't", "it's", "'s", "'ll", "'Re", "'", "x,", "y.", "12", "3.5", "a1b2", "\n", "\n\n", " ", "  ", "\t", "\xa0", "\u2003", "\x1c", "\x85", "!!", "***", "É", "中文", "ʰ", "٣", "²", "_", "a_b", "×", "<|endoftext|>", "😀", "\r\n", "ǅ", "-", "(", "\u0301", "\u180e", "\u0870", "\x00"]
 MARKS = [c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()] + ["«", "»", "—", "“", "”", "…", "¿", "¡", "\n"]
@@ -46,3 +46,33 @@ def test_other_pre_tokenizers_get_whole_texts():
     enc = Encoder(tokenizer_json(public_tokenizers.path("word_bpe_49k.json")))
     assert not enc.by_unit
     assert enc.encode([b"Some  words, here"]) == [enc.whole("Some  words, here")]
+
+
+def test_unit_table_against_a_dictionary():
+    rng, table, known = random.Random(6), UnitTable(), {}
+    for step in range(40):
+        units = [bytes(rng.choice(b"\x00ab\xff") for _ in range(rng.randint(1, rng.choice([3, 8, 9, 16, 17, 23])))) for _ in range(300)]
+        sizes = np.asarray([len(u) for u in units])
+        keys = UnitTable.keys_of(np.frombuffer(b"".join(units), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        assert table.find(keys).tolist() == [known.get(u, -1) for u in units]
+        new = [i for i, u in enumerate(units) if u not in known and u not in units[:i]]
+        table.add([k[new] for k in keys])
+        known |= {units[i]: len(known) + j for j, i in enumerate(new)}
+        assert table.find(keys).tolist() == [known[u] for u in units]
+        if step % 10 == 9:
+            stay = sorted(rng.sample(range(len(known)), len(known) // 2))
+            table.keep(np.asarray(stay))
+            names = list(known)
+            known = {names[n]: i for i, n in enumerate(stay)}
+
+
+def test_units_of_large_vocabularies_are_encoded_once():
+    enc = Encoder(tokenizer_json())
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    text = "".join(f" {i:x}q" for i in range(450_000)).translate(letters).encode()
+    first = enc.encode([text])
+    asked = []
+    plain = enc._encode_missing
+    enc._encode_missing = lambda units, flags: asked.append(len(units)) or plain(units, flags)
+    assert enc.encode([text]) == first
+    assert sum(asked) < 10, asked
